@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleloom.llm import copies, terms
+from tripleloom.llm import copies, entries, terms
 from tripleloom.storage import shared_path, table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Examples with a freely typed object, each with the entry that it stands for or -1."""
+    return entries.entries_found(table(spark, folder, "relation_examples"), table(spark, folder, "canonical_entries"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Members of groups of equal triplets, each with the smallest id of its group."""
     return copies.copies_found(table(spark, folder, "relation_examples"))
@@ -40,7 +45,7 @@ def p5_counts(spark: SparkSession, folder: str) -> DataFrame:
     return _counted(spark, folder).marked()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_distinct": p2_distinct, "p5_found": p5_found, "p5_counts": p5_counts}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p2_distinct": p2_distinct, "p5_found": p5_found, "p5_counts": p5_counts}
 
 _CORE = r"regexp_replace(lower({}), '[\s\x0B\x1C-\x1F\x{{85}}\x{{200B}}\p{{Z}}\p{{P}}]+', '', 'g')"
 _CORES = "list_transform(triplet, lambda x: " + _CORE.format("x") + ")"
