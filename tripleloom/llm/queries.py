@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleloom.llm import copies, entries, terms
+from tripleloom.llm import copies, entries, nearsets, terms
 from tripleloom.storage import shared_path, table
 
 
@@ -26,6 +26,16 @@ def p2_distinct(spark: SparkSession, folder: str) -> DataFrame:
     return copies.distinct_triplets(table(spark, folder, "relation_examples")).select("keep_id", "copies", "spellings")
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of profiles whose summaries share at least three quarters of their words."""
+    return nearsets.near_profiles(table(spark, folder, "item_profiles"))
+
+
+def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Every profile with its group of similar summaries."""
+    return nearsets.profile_groups(table(spark, folder, "item_profiles"))
+
+
 def _counted(spark: SparkSession, folder: str) -> terms.TermCounts:
     """Counts of relation_examples: the rows that came in on time, then the late ones as a change of their own."""
     rows = table(spark, folder, "relation_examples").select("triplet", F.coalesce(F.col("ingested_at") - F.col("extracted_at") > F.expr("INTERVAL 1 DAY"), F.lit(False)).alias("late"))
@@ -45,7 +55,7 @@ def p5_counts(spark: SparkSession, folder: str) -> DataFrame:
     return _counted(spark, folder).marked()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p2_distinct": p2_distinct, "p5_found": p5_found, "p5_counts": p5_counts}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p2_distinct": p2_distinct, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p5_counts": p5_counts}
 
 _CORE = r"regexp_replace(lower({}), '[\s\x0B\x1C-\x1F\x{{85}}\x{{200B}}\p{{Z}}\p{{P}}]+', '', 'g')"
 _CORES = "list_transform(triplet, lambda x: " + _CORE.format("x") + ")"
