@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space of every kind, zero-width space, and Unicode punctuation.
-SEPARATORS = r"[\s\x0B\x1C-\x1F\x85​\p{Z}\p{P}]+"
+SEPARATORS = r"[\s\x0B\x1C-\x1F\x85\u200B\p{Z}\p{P}]+"
 #: Fixed value: a word is a longest run of letters and digits.
 WORD = r"[\p{L}\p{N}]+"
 #: The white space that a Unicode strip takes off, at either end.
