@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleloom.llm import copies, entries, nearsets, terms
+from tripleloom.llm import copies, entries, mixing, nearsets, pieces, terms, tokens
 from tripleloom.storage import shared_path, table
 
 
@@ -55,7 +55,31 @@ def p5_counts(spark: SparkSession, folder: str) -> DataFrame:
     return _counted(spark, folder).marked()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p2_distinct": p2_distinct, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p5_counts": p5_counts}
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """The token ids of every document."""
+    return tokens.encoded(table(spark, folder, "documents"))
+
+
+def _mix(spark: SparkSession, folder: str) -> mixing.Mix:
+    return mixing.Mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of the mix, each as often as it occurs."""
+    return _mix(spark, folder).records()
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares of tokens that the mix reaches."""
+    return _mix(spark, folder).shares()
+
+
+def p8_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents in pieces within the limits of their sources."""
+    return pieces.pieces(table(spark, folder, "documents"), table(spark, folder, "split_limits"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p2_distinct": p2_distinct, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p5_counts": p5_counts, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_pieces": p8_pieces}
 
 _CORE = r"regexp_replace(lower({}), '[\s\x0B\x1C-\x1F\x{{85}}\x{{200B}}\p{{Z}}\p{{P}}]+', '', 'g')"
 _CORES = "list_transform(triplet, lambda x: " + _CORE.format("x") + ")"
