@@ -17,7 +17,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +25,7 @@ from tripleloom.functions import strict_json
 from tripleloom.storage import even_join, written
 
 #: Cells of the count sketch: its size is fixed, whatever the number of rows.
-SKETCH = 1 << 18
+SKETCH = 1 << 20
 
 
 def _word_set(text: str | None) -> list[str] | None:
@@ -51,150 +50,166 @@ class Bands:
         """The smallest size in a band."""
         return math.ceil(self.least / self.t**band - 1e-9)
 
-    def of(self, size: int) -> int:
-        band = max(0, int(math.log(size / self.least) / -math.log(self.t)))
-        while size >= self.low(band + 1):
-            band += 1
-        while band and size < self.low(band):
-            band -= 1
-        return band
+    def of_all(self, sizes: np.ndarray) -> np.ndarray:
+        """The band of each size."""
+        lows = [self.low(0)]
+        while lows[-1] <= sizes.max():
+            lows.append(self.low(len(lows)))
+        return np.searchsorted(np.array(lows), sizes, side="right") - 1
 
-    def differ(self, a: int, b: int) -> int:
-        """The most words in which sets of these sizes may differ and still be similar."""
-        return int((1 - self.t) / (1 + self.t) * (a + b) + 1e-9)
-
-    def segments(self, band: int) -> int:
-        top = self.low(band + 1) - 1
-        return max(2, math.ceil(0.65 * (self.differ(top, int(top / self.t + 1e-9)) + 1)))
-
-
-def _cut(hashes: list[int], segments: int) -> list[list[int]]:
-    parts: list[list[int]] = [[] for _ in range(segments)]
-    for h in hashes:
-        parts[(h >> 32) % segments].append(h)
-    return parts
-
-
-_MASK = (1 << 64) - 1
-
-
-def _key(band: int, segment: int, total: int, kind: int) -> int:
-    """A 64-bit key of the part of a set that lies in a segment; total is the sum of the words' hashes."""
-    x = (total + 0x9E3779B97F4A7C15 * (band * 4096 + segment * 2 + kind + 1)) & _MASK
-    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _MASK
-    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _MASK
-    return (x ^ (x >> 31)) - (1 << 63)
+    def tops(self, band: np.ndarray) -> np.ndarray:
+        """The largest size in each band."""
+        return np.array([self.low(b + 1) - 1 for b in range(int(band.max()) + 1)])[band]
 
-
-def _stored(band: int, parts: list[list[int]]) -> Iterator[tuple[int, int]]:
-    """(kind, key) under which a set is stored: each segment whole (0) and with each one word taken out (1)."""
-    for s, part in enumerate(parts):
-        total = sum(part)
-        yield 0, _key(band, s, total, 0)
-        for h in part:
-            yield 1, _key(band, s, total - h, 1)
-
-
-def _hashes(words: list[str]) -> list[int]:
-    return [xxhash.xxh64_intdigest(w) for w in words]
-
-
-def _chosen(band: int, parts: list[list[int]], need: int, sketch: np.ndarray) -> Iterator[int]:
-    """The keys to look up, at least cost, so that no set that differs in fewer than ``need`` words is missed.
-
-    For each segment there are the keys for cost 1 and the further keys for cost 2. A segment's second step never goes before its first; the
-    cheaper of both together or one after the other is found by taking, step by step, the least cost for each unit of budget.
+    def differ_all(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The most words in which sets of these sizes may differ and still be similar."""
+        return ((1 - self.t) / (1 + self.t) * (a + b) + 1e-9).astype(np.int64)
+
+    def segment_table(self, sizes: np.ndarray) -> np.ndarray:
+        """The number of segments of every band up to that of the largest size: half the words that sets may differ in, so that few, large
+        segments looked up to one word do, which few unlike sets share."""
+        out = []
+        for band in range(int(self.of_all(sizes).max()) + 1):
+            top = self.low(band + 1) - 1
+            need = int(self.differ_all(np.array(top), np.array(int(top / self.t + 1e-9)))) + 1
+            out.append(max(2, (need + 1) // 2))
+        return np.array(out)
+
+
+def _mixed(total: np.ndarray, band: np.ndarray, segment: np.ndarray, kind: int) -> np.ndarray:
+    """64-bit keys of the parts of sets that lie in segments, from the sums of the words' hashes; kind tells whole parts (0) from parts short of a word (1)."""
+    x = total + (band.astype(np.uint64) * np.uint64(1 << 20) + segment.astype(np.uint64) * np.uint64(2) + np.uint64(kind + 1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class _Layout:
+    """The sets of a batch cut into the segments of one band each: a slot for every segment of every set, word by word in ``slot``."""
+
+    def __init__(self, hashes: np.ndarray, sizes: np.ndarray, band: np.ndarray, segments: np.ndarray):
+        self.row = np.repeat(np.arange(len(sizes)), sizes)
+        self.count = segments[band]
+        self.first = np.concatenate([[0], np.cumsum(self.count)])
+        part = ((hashes >> np.uint64(32)) % self.count[self.row].astype(np.uint64)).astype(np.int64)
+        self.slot = self.first[self.row] + part
+        total = np.zeros(self.first[-1], np.uint64)
+        np.add.at(total, self.slot, hashes)
+        self.owner = np.repeat(np.arange(len(sizes)), self.count)
+        segment = np.arange(self.first[-1]) - self.first[self.owner]
+        less = total[self.slot] - hashes
+        self.whole = [_mixed(total, band[self.owner], segment, kind) for kind in (0, 1)]
+        self.less = [_mixed(less, band[self.row], part, kind) for kind in (0, 1)]
+
+
+def _batch(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words, sizes of the sets) of a batch (id, hs)."""
+    lists = batch.column(1)
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _marks(hashes: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """128 bits for each set, each the parity of how many of its words fall on it: the bits in which two sets differ are at most the words in which they do."""
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    bit = np.uint64(1) << (hashes & np.uint64(63))
+    high = (hashes >> np.uint64(6)) & np.uint64(1) == 1
+    return [np.bitwise_xor.reduceat(np.where(side, bit, np.uint64(0)), starts).view(np.int64) for side in (high, ~high)]
+
+
+def _levels(one: list[float], both: list[float], need: int) -> list[int]:
+    """How each segment is looked up, 0 not, 1 whole, 2 up to one word, at little cost so that the levels sum to ``need``.
+
+    one and both are the costs of level 1 and 2. Steps are taken by least cost for each unit gained; two units at once where that is cheaper.
     """
-    steps = []
-    for s, part in enumerate(parts):
-        total = sum(part)
-        one = [_key(band, s, total, 0)]
-        two = [_key(band, s, total, 1), *(_key(band, s, total - h, 0) for h in part)]
-        c1 = float(sketch[one[0] % SKETCH]) + 1
-        c2 = float(sketch[[k % SKETCH for k in two]].sum()) + len(two)
-        steps.append((one, two, c1, c2))
-    heap = []
-    for i, (_, _, c1, c2) in enumerate(steps):
-        heap.append((min(c1, (c1 + c2) / 2), i, 1 if c1 <= (c1 + c2) / 2 else 2))
+    level = [0] * len(one)
+    heap = [(c, i, 1) if c <= b / 2 else (b / 2, i, 2) for i, (c, b) in enumerate(zip(one, both))]
     heapq.heapify(heap)
-    level = [0] * len(parts)
     got = 0
     while got < need and heap:
         _, i, to = heapq.heappop(heap)
         got += to - level[i]
         level[i] = to
         if to == 1:
-            heapq.heappush(heap, (steps[i][3], i, 2))
+            heapq.heappush(heap, (both[i] - one[i], i, 2))
     assert got >= need, "too few segments for the budget"
-    for i, n in enumerate(level):
-        if n:
-            yield from steps[i][0]
-        if n == 2:
-            yield from steps[i][1]
+    return level
 
 
 def _sketched(sets: DataFrame, bands: Bands) -> np.ndarray:
-    """How many stored keys fall in each of the fixed number of cells, over all sets."""
+    """About how many sets are stored under the keys of each cell, less what a cell has by chance; over all sets, in a fixed number of cells."""
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.int64)
         for batch in batches:
-            found = []
-            for words in batch.column("ws").to_pylist():
-                band = bands.of(len(words))
-                found.extend(k % SKETCH for _, k in _stored(band, _cut(_hashes(words), bands.segments(band))))
-            if found:
-                counts += np.bincount(np.array(found), minlength=SKETCH)
+            hashes, sizes = _batch(batch)
+            if len(sizes):
+                cut = _Layout(hashes, sizes, bands.of_all(sizes), bands.segment_table(sizes))
+                counts += np.bincount((np.concatenate([cut.whole[0], cut.less[1]]) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["cell", "n"])
 
-    rows = sets.select("ws").mapInArrow(cells, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    rows = sets.mapInArrow(cells, "cell int, n bigint").groupBy("cell").agg(F.sum("n").cast("float").alias("n")).toArrow()
     sketch = np.zeros(SKETCH, np.float32)
     sketch[rows["cell"].to_numpy()] = rows["n"].to_numpy()
-    return sketch
+    return np.maximum(sketch - np.median(sketch), 0)
 
 
 def similar_sets(sets: DataFrame, similarity: float = 0.75, least: int = 8) -> DataFrame:
     """(a, b, common, united): all pairs of sets, a the smaller id, whose common words are at least ``similarity`` of their words together.
 
     sets has ``id`` and ``ws``, distinct sets of at least ``least`` distinct words. Exact: candidates are complete by the pigeonhole argument
-    above and verified on the words themselves. An empty table gives an empty result.
+    above; of those that meet in a segment the ones that bit marks show to differ in too many words are dropped where they meet, the others are
+    verified on the words themselves. An empty table gives an empty result.
     """
     bands = Bands(similarity, least)
-    sketch = sets.sparkSession.sparkContext.broadcast(_sketched(sets, bands))
+    hashed = sets.select("id", F.transform("ws", lambda w: F.xxhash64(w)).alias("hs"))
+    sketch = sets.sparkSession.sparkContext.broadcast(_sketched(hashed, bands))
+
+    def rows_of(ids: pa.Array, own: np.ndarray, keys: np.ndarray, sizes: np.ndarray, marks: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+        columns = [pa.array(keys.view(np.int64)), ids.take(pa.array(own)), pa.array(sizes[own].astype(np.int32)), *(pa.array(m[own]) for m in marks)]
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys, sizes = [], [], []
-            for i, words in zip(batch.column("id").to_pylist(), batch.column("ws").to_pylist()):
-                band = bands.of(len(words))
-                own = [k for _, k in _stored(band, _cut(_hashes(words), bands.segments(band)))]
-                ids += [i] * len(own)
-                sizes += [len(words)] * len(own)
-                keys += own
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32())], names=["key", "a", "na"])
+            hashes, sizes = _batch(batch)
+            if len(sizes):
+                cut = _Layout(hashes, sizes, bands.of_all(sizes), bands.segment_table(sizes))
+                yield rows_of(batch.column(0), np.concatenate([cut.owner, cut.row]), np.concatenate([cut.whole[0], cut.less[1]]), sizes, _marks(hashes, sizes), ["key", "a", "na", "a1", "a2"])
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
+        cost = lambda keys: counts[(keys % np.uint64(SKETCH)).astype(np.int64)] + np.float32(1)
         for batch in batches:
-            ids, keys, sizes = [], [], []
-            for i, words in zip(batch.column("id").to_pylist(), batch.column("ws").to_pylist()):
-                size, hashes = len(words), _hashes(words)
-                own = bands.of(size)
-                for band in range(max(0, own - 1), own + 1):
-                    other = min(size, bands.low(band + 1) - 1)
-                    if other < similarity * size - 1e-9:
-                        continue
-                    new = list(_chosen(band, _cut(hashes, bands.segments(band)), bands.differ(size, other) + 1, counts))
-                    ids += [i] * len(new)
-                    sizes += [size] * len(new)
-                    keys += new
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32())], names=["key", "b", "nb"])
-
-    kept = sets.mapInArrow(stored, "key bigint, a bigint, na int")
-    looked = sets.mapInArrow(asked, "key bigint, b bigint, nb int")
+            hashes, sizes = _batch(batch)
+            if not len(sizes):
+                continue
+            marks, own = _marks(hashes, sizes), bands.of_all(sizes)
+            for down in (0, 1):
+                band = own - down
+                other = np.minimum(sizes, bands.tops(np.maximum(band, 0)))
+                takes = (band >= 0) & (other >= similarity * sizes - 1e-9)
+                if not takes.any():
+                    continue
+                words = takes[np.repeat(np.arange(len(sizes)), sizes)]
+                at = np.flatnonzero(takes)
+                cut = _Layout(hashes[words], sizes[at], band[at], bands.segment_table(sizes))
+                one = cost(cut.whole[0])
+                both = one + cost(cut.whole[1]) + np.bincount(cut.slot, cost(cut.less[0]), minlength=len(one)).astype(np.float32)
+                need = bands.differ_all(sizes[at], other[at]) + 1
+                one_, both_, first = one.tolist(), both.tolist(), cut.first.tolist()
+                level = np.array([x for k, n in enumerate(need.tolist()) for x in _levels(one_[first[k] : first[k + 1]], both_[first[k] : first[k + 1]], n)])
+                fewer, more = level >= 1, level == 2
+                word = more[cut.slot]
+                keys = np.concatenate([cut.whole[0][fewer], cut.whole[1][more], cut.less[0][word]])
+                who = at[np.concatenate([cut.owner[fewer], cut.owner[more], cut.row[word]])]
+                yield rows_of(batch.column(0), who, keys, sizes, marks, ["key", "b", "nb", "b1", "b2"])
+
+    kept = hashed.mapInArrow(stored, "key bigint, a bigint, na int, a1 bigint, a2 bigint")
+    looked = hashed.mapInArrow(asked, "key bigint, b bigint, nb int, b1 bigint, b2 bigint")
     fits = (F.col("na") >= F.lit(similarity) * F.col("nb") - 1e-9) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
-    pairs = kept.join(looked, "key").where(fits).select("a", "b").distinct()
+    differ = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
+    close = differ <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("na") + F.col("nb")) + 1e-9
+    pairs = kept.join(looked, "key").where(fits & close).select("a", "b").distinct()
     first = sets.select(F.col("id").alias("a"), F.col("ws").alias("wa"))
     second = sets.select(F.col("id").alias("b"), F.col("ws").alias("wb"))
     both = pairs.join(first, "a").join(second, "b").withColumn("common", F.size(F.array_intersect("wa", "wb")))
