@@ -91,6 +91,6 @@ def reason(line: str) -> tuple[str | None, int | None, str | None]:
         return "bad_iid", None, None
     inner = fields["business summary"]
     text = summarization(inner) if type(inner) is str else None
-    if text is None or not text.strip("\u200B \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\ufeff") or not text.strip():
+    if text is None or all(c.isspace() or c == "\u200b" for c in text):
         return "bad_summary", None, None
     return None, int(iid), text
