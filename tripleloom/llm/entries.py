@@ -102,6 +102,7 @@ def repaired(probes: DataFrame, targets: DataFrame, o: Options) -> DataFrame:
     cut = probes.join(small(most), "rel").where(F.length("s") <= F.col("most") + 2).select("rel", "s")
     found = cut.select("rel", "s", F.explode(_neighbourhood(F.col("s"), o)).alias("v")).join(small(near, 1_000_000), ["rel", "v"])
     found = found.groupBy("rel", "s", "t", "form").agg(F.min(F.greatest(left("s", "v"), left("form", "v"))).alias("taken"))
+    found = found.where(F.col("taken") <= F.least(_edits(F.col("s"), o), _edits(F.col("form"), o)))
     lev = F.levenshtein("s", "form", 4)
     long = F.least(F.length("s"), F.length("form")) >= o.swaps
     d = F.when(F.col("taken") <= 1, F.col("taken").cast("double")).when((lev >= 0) & (lev <= 2), 2.0).when((lev >= 0) & long, 2.25)

@@ -162,26 +162,27 @@ class _Text:
 
     def pieces(self, most: int, overlap: int) -> Iterator[tuple[int, int, int, int]]:
         """(first token, first character, end token, end character) of each piece."""
-        total, start, a = int(self.at[-1]), 0, 0
+        total, start, a, done, done_char = int(self.at[-1]), 0, 0, 0, 0
         while True:
             room = most
             while True:
                 if total - start <= room:
                     end, b = total, len(self.text)
                 else:
-                    low = start + (overlap + 3 if overlap and overlap + 3 < room else 0)  # a character has at most four tokens
-                    end = self.cut(low, start + room // 2, start + room)
-                    end, b = self.char(end)
-                if self.fits(start, a, end, b, most) or room <= 1:
+                    low = max(done, start + overlap + 3 if overlap and overlap + 3 < room else 0)  # what follows the shared part; a character has at most four tokens
+                    end, b = self.char(self.cut(low, max(low, start + room // 2), max(low + 1, start + room)))
+                if end - start > room and start < done:  # what is shared leaves no room for a whole character
+                    start, a = done, done_char
+                elif room <= 1 or self.fits(start, a, end, b, most):
                     break
-                room -= max(1, room // 32)
+                else:
+                    room -= max(1, room // 32)
             yield start, a, end, b
             if end >= total:
                 return
+            done, done_char = end, b
             back, back_char = self.char(max(end - overlap, 0))
-            if back <= start:
-                back, back_char = end, b
-            start, a = back, back_char
+            start, a = (back, back_char) if back > start else (end, b)
 
 
 def pieces(documents: DataFrame, limits: DataFrame, o: Cohesion = Cohesion(), folder: str = tokens.FOLDER, name: str = tokens.NAME) -> DataFrame:

@@ -35,7 +35,7 @@ def term_delta(records: DataFrame, column: str = "triplet", sign: str | None = N
 class TermCounts:
     """Persistent counts under ``path``, in ``buckets`` partitions by hash of the term."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
         self.versions: dict[int, int] = {}
         self.records = 0
