@@ -485,9 +485,9 @@ def _said(text: Column) -> Column:
 
 
 def _run(spark: SparkSession, folder: str, **options) -> list[pipeline.Pass]:
-    """A run over the result records written out as texts; the extracting model repeats what it reads."""
+    """A run over the result records written out as texts; the extracting model repeats the text of its prompt."""
     docs = table(spark, folder, "canon_kg").select("doc_ord", "iid", listed_lists(F.col("triplets")).alias("text"))
-    echo = providers.Rules(lambda i, x: x)
+    echo = providers.Rules(lambda i, x: F.regexp_extract(x, r"(?s)Text: (.*?)(\nEntities: |$)", 1))
     models = pipeline.Models(oie=echo, sd=providers.Rules(lambda i, x: _said(x)), ee=echo)
     known = _schema(spark, folder).where("relation LIKE 's%' OR relation LIKE 'l%'").drop("embedding")
     return pipeline.run(docs, known, Config(threshold=0.75, **options), models)
