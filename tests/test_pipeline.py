@@ -219,3 +219,26 @@ def test_stream_equals_one_run(spark, tmp_path):
     enrich.enrich_stream(stream, v, e, 0.9, out, str(tmp_path / "cp")).awaitTermination()
     assert rows(spark.read.parquet(out).select("doc_ord", "canon")) == rows(want.select("doc_ord", "canon"))
     assert rows(v.at(2).select("relation")) == rows(grown.select("relation"))
+
+
+def test_command_line(spark, tmp_path):
+    from tripleloom import cli
+
+    lines = [json.dumps({"iid": 5, "business summary": json.dumps({"summarization": "[['a','r','b']]"})}), "{broken"]
+    out = str(tmp_path / "out")
+    argv = ["--input_text_file_path", write(tmp_path / "in.jsonl", "\n".join(lines)), "--target-schema-path", write(tmp_path / "s.csv", "r,The subject entity r the object entity.\n"), "--output_dir", out]
+    last = cli.main(argv, spark)[-1]
+    spark.sparkContext.setLogLevel("ERROR")
+    assert rows(last.results.select("iid", "triplets")) == [("5", [["a", "r", "b"]])]
+    assert spark.read.json(f"{out}/rejects").first().line == "{broken"
+    assert rows(spark.read.json(f"{out}/iter=0/canon_kg").select("iid")) == [("5",)]
+    with pytest.raises(ValueError):
+        cli.main([*argv[:-1], str(tmp_path / "other"), "--oie_llm", "unheard-of"], spark)
+
+
+def test_model_names(spark, tmp_path):
+    from tripleloom import cli
+
+    spark.createDataFrame([("h", "c")], "prompt_hash string, completion string").write.parquet(str(tmp_path / "r"))
+    assert isinstance(cli.model_named(spark, f"replay:{tmp_path}/r", Config(), None), providers.Replay)
+    assert isinstance(cli.model_named(spark, "my-gpt", Config(enable_parallel_requests=True), None), providers.Remote)

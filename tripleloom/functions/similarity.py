@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripleloom.storage import fits_broadcast
+
 #: Vectors of the vocabulary that are scored at once; a larger vocabulary is taken in blocks of so many.
 BLOCK = 20_000
 #: Decimals that scores are rounded to before they are ranked, so that the order of summation cannot decide.
@@ -49,11 +51,12 @@ def nearest(queries: DataFrame, keys: list[str], vector: str, vocabulary: DataFr
 
     queries has ``keys``, together unique, and the array ``vector``; vocabulary has ``ord``, unique, and ``embedding``, all of one length.
     Scores are rounded before they are ranked; ties go to the smaller ord; scores below ``least`` are left out. Null vectors give no rows, an empty vocabulary an empty result.
-    ``matrix`` multiplies blocks in NumPy and moves only the vocabulary; ``native`` scores with JVM expressions and suits small vocabularies.
+    ``matrix`` multiplies blocks in NumPy and moves only the vocabulary; ``native`` scores with JVM expressions where the vocabulary is one block,
+    and is ``matrix`` beyond that.
     """
     w = Window.partitionBy(*keys).orderBy(F.desc("score"), "ord")
-    if strategy == "native":
-        each = queries.select(*keys, F.col(vector).alias("_q")).where("_q IS NOT NULL").join(F.broadcast(vocabulary.limit(BLOCK).select("ord", "embedding").where("embedding IS NOT NULL")))
+    if strategy == "native" and fits_broadcast(vocabulary, BLOCK):
+        each = queries.select(*keys, F.col(vector).alias("_q")).where("_q IS NOT NULL").join(F.broadcast(vocabulary.select("ord", "embedding").where("embedding IS NOT NULL")))
         scored = each.select(*keys, "ord", (F.round(dot(F.col("_q"), F.col("embedding")), DECIMALS) + 0.0).alias("score"))
         return scored.where(F.col("score") >= least).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*keys, "rank", "ord", "score")
     rows = vocabulary.where("embedding IS NOT NULL").select("ord", "embedding").orderBy("ord")

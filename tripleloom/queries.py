@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripleloom.cli import definitions_by_rule
 from tripleloom.config import Config
 from tripleloom.functions import parsers
 from tripleloom.functions.similarity import nearest
@@ -478,17 +479,11 @@ def jsonl_rejects(spark: SparkSession, folder: str) -> DataFrame:
 # Whole runs.
 
 
-def _said(text: Column) -> Column:
-    """The relations that a definition prompt names, each with a definition by rule."""
-    names = F.regexp_extract_all(F.substring_index(text, "Relations: ", -1), F.lit("'([^']*)'"), F.lit(1))
-    return F.array_join(F.transform(names, lambda r: F.concat(r, F.lit(": The subject entity "), r, F.lit(" the object entity."))), "\n")
-
-
 def _run(spark: SparkSession, folder: str, **options) -> list[pipeline.Pass]:
     """A run over the result records written out as texts; the extracting model repeats the text of its prompt."""
     docs = table(spark, folder, "canon_kg").select("doc_ord", "iid", listed_lists(F.col("triplets")).alias("text"))
     echo = providers.Rules(lambda i, x: F.regexp_extract(x, r"(?s)Text: (.*?)(\nEntities: |$)", 1))
-    models = pipeline.Models(oie=echo, sd=providers.Rules(lambda i, x: _said(x)), ee=echo)
+    models = pipeline.Models(oie=echo, sd=providers.Rules(definitions_by_rule), ee=echo)
     known = _schema(spark, folder).where("relation LIKE 's%' OR relation LIKE 'l%'").drop("embedding")
     return pipeline.run(docs, known, Config(threshold=0.75, **options), models)
 
