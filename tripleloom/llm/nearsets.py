@@ -108,12 +108,10 @@ def _batch(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _marks(hashes: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-    """128 bits for each set, each the parity of how many of its words fall on it: the bits in which two sets differ are at most the words in which they do."""
+def _marks(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64 bits for each set, each the parity of how many of its words fall on it: the bits in which two sets differ are at most the words in which they do."""
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    bit = np.uint64(1) << (hashes & np.uint64(63))
-    high = (hashes >> np.uint64(6)) & np.uint64(1) == 1
-    return [np.bitwise_xor.reduceat(np.where(side, bit, np.uint64(0)), starts).view(np.int64) for side in (high, ~high)]
+    return np.bitwise_xor.reduceat(np.uint64(1) << (hashes & np.uint64(63)), starts).view(np.int64)
 
 
 def _levels(one: list[float], both: list[float], need: int) -> list[int]:
@@ -165,8 +163,8 @@ def similar_sets(sets: DataFrame, similarity: float = 0.75, least: int = 8) -> D
     hashed = sets.select("id", F.transform("ws", lambda w: F.xxhash64(w)).alias("hs"))
     sketch = sets.sparkSession.sparkContext.broadcast(_sketched(hashed, bands))
 
-    def rows_of(ids: pa.Array, own: np.ndarray, keys: np.ndarray, sizes: np.ndarray, marks: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
-        columns = [pa.array(keys.view(np.int64)), ids.take(pa.array(own)), pa.array(sizes[own].astype(np.int32)), *(pa.array(m[own]) for m in marks)]
+    def rows_of(ids: pa.Array, own: np.ndarray, keys: np.ndarray, sizes: np.ndarray, marks: np.ndarray, names: list[str]) -> pa.RecordBatch:
+        columns = [pa.array(keys.view(np.int64)), ids.take(pa.array(own)), pa.array(sizes[own].astype(np.int32)), pa.array(marks[own])]
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +172,7 @@ def similar_sets(sets: DataFrame, similarity: float = 0.75, least: int = 8) -> D
             hashes, sizes = _batch(batch)
             if len(sizes):
                 cut = _Layout(hashes, sizes, bands.of_all(sizes), bands.segment_table(sizes))
-                yield rows_of(batch.column(0), np.concatenate([cut.owner, cut.row]), np.concatenate([cut.whole[0], cut.less[1]]), sizes, _marks(hashes, sizes), ["key", "a", "na", "a1", "a2"])
+                yield rows_of(batch.column(0), np.concatenate([cut.owner, cut.row]), np.concatenate([cut.whole[0], cut.less[1]]), sizes, _marks(hashes, sizes), ["key", "a", "na", "ma"])
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
@@ -202,12 +200,12 @@ def similar_sets(sets: DataFrame, similarity: float = 0.75, least: int = 8) -> D
                 word = more[cut.slot]
                 keys = np.concatenate([cut.whole[0][fewer], cut.whole[1][more], cut.less[0][word]])
                 who = at[np.concatenate([cut.owner[fewer], cut.owner[more], cut.row[word]])]
-                yield rows_of(batch.column(0), who, keys, sizes, marks, ["key", "b", "nb", "b1", "b2"])
+                yield rows_of(batch.column(0), who, keys, sizes, marks, ["key", "b", "nb", "mb"])
 
-    kept = hashed.mapInArrow(stored, "key bigint, a bigint, na int, a1 bigint, a2 bigint")
-    looked = hashed.mapInArrow(asked, "key bigint, b bigint, nb int, b1 bigint, b2 bigint")
+    kept = hashed.mapInArrow(stored, "key bigint, a bigint, na int, ma bigint")
+    looked = hashed.mapInArrow(asked, "key bigint, b bigint, nb int, mb bigint")
     fits = (F.col("na") >= F.lit(similarity) * F.col("nb") - 1e-9) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
-    differ = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
+    differ = F.bit_count(F.col("ma").bitwiseXOR(F.col("mb")))
     close = differ <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("na") + F.col("nb")) + 1e-9
     pairs = kept.join(looked, "key").where(fits & close).select("a", "b").distinct()
     first = sets.select(F.col("id").alias("a"), F.col("ws").alias("wa"))
