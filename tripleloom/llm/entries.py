@@ -72,6 +72,11 @@ def folded_apart(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: fold(x, merge=False))
 
 
+def _kept(df: DataFrame, name: str, rows: int = 50_000) -> DataFrame:
+    """A table made from the list, written once, and with a broadcast hint if it is small."""
+    return small(written(df, name), rows)
+
+
 def _edits(c: Column, o: Options) -> Column:
     return F.when(F.length(c) < o.short, 0).when(F.length(c) < o.long, 1).otherwise(2)
 
@@ -98,9 +103,9 @@ def repaired(probes: DataFrame, targets: DataFrame, o: Options) -> DataFrame:
     """
     left = lambda c, v: F.length(c) - F.length(v)
     near = targets.select("rel", "t", "form", F.explode(_neighbourhood(F.col("form"), o)).alias("v"))
-    most = targets.groupBy("rel").agg(F.max(F.length("form")).alias("most"))
-    cut = probes.join(small(most), "rel").where(F.length("s") <= F.col("most") + 2).select("rel", "s")
-    found = cut.select("rel", "s", F.explode(_neighbourhood(F.col("s"), o)).alias("v")).join(small(near, 1_000_000), ["rel", "v"])
+    most = _kept(targets.groupBy("rel").agg(F.max(F.length("form")).alias("most")), "lengths")
+    cut = probes.join(most, "rel").where(F.length("s") <= F.col("most") + 2).select("rel", "s")
+    found = cut.select("rel", "s", F.explode(_neighbourhood(F.col("s"), o)).alias("v")).join(_kept(near, "near", 1_000_000), ["rel", "v"])
     found = found.groupBy("rel", "s", "t", "form").agg(F.min(F.greatest(left("s", "v"), left("form", "v"))).alias("taken"))
     found = found.where(F.col("taken") <= F.least(_edits(F.col("s"), o), _edits(F.col("form"), o)))
     lev = F.levenshtein("s", "form", 4)
@@ -141,11 +146,11 @@ def mapped(values: DataFrame, entries: DataFrame, o: Options = Options()) -> Dat
     affix = F.array(*[F.lit(x) for x in o.affixes])
     e = entries.select("entry_id", "rel", folded("entry_name").alias("ts"), folded_apart("entry_name").alias("apart")).where(F.size("ts") > 0)
     e = written(e.withColumn("whole", F.array_join("ts", "")), "entries")
-    tokens = e.select("rel", "entry_id", F.explode(F.array_distinct("ts")).alias("t"))
+    tokens = _kept(e.select("rel", "entry_id", F.explode(F.array_distinct("ts")).alias("t")), "tokens")
     number = e.groupBy("rel").agg(F.count(F.lit(1)).alias("n"))
-    vocabulary = tokens.groupBy("rel", "t").agg(F.count(F.lit(1)).alias("df")).join(small(number), "rel").withColumn("idf", F.log(F.lit(1.0) + F.col("n") / F.col("df"))).drop("n")
-    weights = tokens.join(small(vocabulary), ["rel", "t"])
-    sums = weights.groupBy("rel", "entry_id").agg(F.sum("idf").alias("all_idf"), F.count(F.lit(1)).alias("m"))
+    vocabulary = tokens.groupBy("rel", "t").agg(F.count(F.lit(1)).alias("df")).join(number, "rel").withColumn("idf", F.log(F.lit(1.0) + F.col("n") / F.col("df"))).drop("n")
+    vocabulary = _kept(vocabulary, "vocabulary")
+    sums = _kept(tokens.join(vocabulary, ["rel", "t"]).groupBy("rel", "entry_id").agg(F.sum("idf").alias("all_idf"), F.count(F.lit(1)).alias("m")), "sums")
 
     v = values.select("rel", "value", folded("value").alias("ts"))
     stripped = F.filter("ts", lambda x: ~F.array_contains(affix, x))
@@ -153,7 +158,7 @@ def mapped(values: DataFrame, entries: DataFrame, o: Options = Options()) -> Dat
     best = Window.partitionBy("rel", "value").orderBy(F.desc("score"), "d", "entry_id")
 
     # equal when folded
-    wholes = small(e.groupBy("rel", "whole").agg(F.min("entry_id").alias("entry_id")))
+    wholes = _kept(e.groupBy("rel", "whole").agg(F.min("entry_id").alias("entry_id")), "wholes")
     same = v.join(wholes.withColumnRenamed("whole", "joined"), ["rel", "joined"], "left").withColumnRenamed("entry_id", "e1")
     same = same.join(wholes.withColumnRenamed("whole", "bare"), ["rel", "bare"], "left").withColumnRenamed("entry_id", "e2")
     same = written(same.withColumn("exact", F.coalesce("e1", "e2")).drop("e1", "e2"), "same")
@@ -175,19 +180,19 @@ def mapped(values: DataFrame, entries: DataFrame, o: Options = Options()) -> Dat
 
     begin = F.transform(F.sequence(F.greatest(F.lit(3), F.ceil(o.prefix_share * F.length("whole")).cast("int")), F.length("whole") - 1), lambda i: F.substring("whole", F.lit(1), i))
     starts = e.where(F.greatest(F.lit(3), F.ceil(o.prefix_share * F.length("whole")).cast("int")) < F.length("whole")).select("rel", "entry_id", F.length("whole").alias("full"), F.explode(begin).alias("s"))
-    as_start = forms.join(small(starts, 500_000), ["rel", "s"])
+    as_start = forms.join(_kept(starts, "starts", 500_000), ["rel", "s"])
     as_start = as_start.select("rel", "value", "entry_id", (0.7 + 0.1 * F.length("s") / F.col("full")).alias("score"), (F.col("full") - F.length("s")).cast("double").alias("d"))
 
-    hits = words.join(fixes, ["rel", "s"]).join(small(vocabulary), ["rel", "t"]).select("rel", "value", "at", "s", "t", "idf", "d", (1 - F.col("d") / F.length("t")).alias("sim"), F.lit(True).alias("sure"))
-    short = words.join(small(_short_forms(vocabulary), 500_000), ["rel", "s"]).join(small(vocabulary), ["rel", "t"])
+    hits = words.join(fixes, ["rel", "s"]).join(vocabulary, ["rel", "t"]).select("rel", "value", "at", "s", "t", "idf", "d", (1 - F.col("d") / F.length("t")).alias("sim"), F.lit(True).alias("sure"))
+    short = words.join(_kept(_short_forms(vocabulary), "short", 500_000), ["rel", "s"]).join(vocabulary, ["rel", "t"])
     hits = hits.unionByName(short.select("rel", "value", "at", "s", "t", "idf", F.lit(1.0).alias("d"), F.lit(0.8).alias("sim"), F.lit(False).alias("sure")))
     free = F.array_contains(affix, F.col("s"))
     known = hits.where(F.col("sure") & ~free).groupBy("rel", "value", "at").agg(F.max(F.col("sim") * F.col("idf")).alias("w")).groupBy("rel", "value").agg(F.sum("w").alias("known"))
     each = hits.groupBy("rel", "value", "t").agg(F.max_by(F.struct("sim", "d", "idf", (F.col("sure") & ~free).alias("counts")), F.struct("sim", "sure", -F.col("at"))).alias("b"))
-    votes = each.join(small(tokens), ["rel", "t"]).groupBy("rel", "value", "entry_id").agg(
+    votes = each.join(tokens, ["rel", "t"]).groupBy("rel", "value", "entry_id").agg(
         F.sum(F.col("b.sim") * F.col("b.idf")).alias("got"), F.sum(F.when(F.col("b.counts"), F.col("b.sim") * F.col("b.idf")).otherwise(0.0)).alias("used"), F.count(F.lit(1)).alias("found"), F.sum("b.d").alias("d")
     )
-    votes = votes.join(small(sums), ["rel", "entry_id"]).where("found = m").join(known, ["rel", "value"], "left")
+    votes = votes.join(sums, ["rel", "entry_id"]).where("found = m").join(known, ["rel", "value"], "left")
     extra = F.greatest(F.lit(0.0), F.coalesce("known", F.lit(0.0)) - F.col("used"))
     as_tokens = votes.select("rel", "value", "entry_id", ((F.col("got") - extra) / F.col("all_idf")).alias("score"), "d")
 
@@ -204,8 +209,8 @@ def entries_found(examples: DataFrame, entries: DataFrame, o: Options = Options(
     """
     listed = entries.select("entry_id", core(F.col("relation")).alias("rel"), "entry_name")
     rows = examples.where(whole_triplet(F.col("triplet"))).select("example_id", core(F.col("triplet")[1]).alias("rel"), F.col("triplet")[2].alias("value"))
-    rows = rows.join(small(listed.select("rel").distinct()), "rel", "left_semi")
-    rows = rows.join(small(listed.select("rel", F.col("entry_name").alias("value"))), ["rel", "value"], "left_anti")
+    rows = rows.join(_kept(listed.select("rel").distinct(), "relations"), "rel", "left_semi")
+    rows = rows.join(_kept(listed.select("rel", F.col("entry_name").alias("value")), "names"), ["rel", "value"], "left_anti")
     counted = written(rows.groupBy("rel", "value").agg(F.count(F.lit(1)).alias("rows")), "typed")
     result = written(counted.join(mapped(counted, listed, o), ["rel", "value"]), "mapped")
     total = counted.agg(F.sum("rows")).first()[0] or 0
