@@ -105,6 +105,7 @@ def repaired(probes: DataFrame, targets: DataFrame, o: Options) -> DataFrame:
     near = targets.select("rel", "t", "form", F.explode(_neighbourhood(F.col("form"), o)).alias("v"))
     most = _kept(targets.groupBy("rel").agg(F.max(F.length("form")).alias("most")), "lengths")
     cut = probes.join(most, "rel").where(F.length("s") <= F.col("most") + 2).select("rel", "s")
+    cut = cut.repartition(max(1, cut.sparkSession.sparkContext.defaultParallelism))  # the neighbourhoods are a hundred times as many rows
     found = cut.select("rel", "s", F.explode(_neighbourhood(F.col("s"), o)).alias("v")).join(_kept(near, "near", 1_000_000), ["rel", "v"])
     found = found.groupBy("rel", "s", "t", "form").agg(F.min(F.greatest(left("s", "v"), left("form", "v"))).alias("taken"))
     found = found.where(F.col("taken") <= F.least(_edits(F.col("s"), o), _edits(F.col("form"), o)))
