@@ -59,6 +59,17 @@ def test_written_triples_are_read_again(triples):
     assert parsers.raw_triples(repr(triples)) == triples
 
 
+@given(st.text(alphabet="[]'\", ab\\\n", max_size=40))
+@settings(max_examples=500, deadline=None)
+def test_short_cuts_agree_with_literals(text):
+    for part in (text, f"[{text}]", f"['{text}', 'b', 'c']", f"[['a', '{text}'], [\"b\"]]"):
+        value = parsers.literal(part)
+        if parsers._MANY(part):
+            assert isinstance(value, list) and value and all(isinstance(x, list) for x in value)
+        elif parsers._ONE(part):
+            assert value == [x[1:-1] for x in parsers._ITEMS(part)]
+
+
 def test_deep_brackets_end_quickly():
     assert parsers.raw_triples("[" * 50_000 + "]" * 50_000) == []
 

@@ -6,6 +6,7 @@ Brackets nest, which no regular expression follows, so triples and entities are
 from __future__ import annotations
 
 import ast
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,13 @@ DEEPEST = 200
 TRIPLES = T.StructType([T.StructField("triples", T.ArrayType(T.ArrayType(T.StringType()))), T.StructField("rejects", T.ArrayType(T.StringType()))])
 
 
+_ITEM = r"""(?:'[^'\\\n\r\0]*'|"[^"\\\n\r\0]*")"""
+_PLAIN = rf"\[[ \n]*{_ITEM}(?:[ \n]*,[ \n]*{_ITEM})*[ \n]*\]"
+_ONE = re.compile(_PLAIN).fullmatch
+_MANY = re.compile(rf"\[[ \n]*{_PLAIN}(?:[ \n]*,[ \n]*{_PLAIN})*[ \n]*\]").fullmatch
+_ITEMS = re.compile(_ITEM).findall
+
+
 def bracketed(text: str) -> list[str]:
     """The bracketed parts of a text in order of their closing brackets; quotes are not looked at, brackets without a partner are skipped."""
     opened: list[list[int]] = []
@@ -52,7 +60,9 @@ def raw_triples(text: str | None) -> list[list]:
     """
     out = []
     for part in bracketed(text or ""):
-        value = literal(part)
+        if _MANY(part):  # a list of lists of strings, as well-formed answers are, without reading it as a literal
+            continue
+        value = [x[1:-1] for x in _ITEMS(part)] if _ONE(part) else literal(part)
         if not isinstance(value, list) or not value:
             continue
         if len(value) == 3 and all(type(x) is str for x in value):

@@ -76,7 +76,7 @@ def growth(pairs: DataFrame, schema: DataFrame, tau: float, unit: str = "documen
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, matrix, n = set(names), start, len(start)
-        waiting, now = [], None
+        waiting, named, now = [], set(), None
         for frame in frames:
             new = []
             for row in frame.itertuples(index=False):
@@ -91,13 +91,14 @@ def growth(pairs: DataFrame, schema: DataFrame, tau: float, unit: str = "documen
                                 matrix = wider
                             matrix[n] = vector
                             n += 1
-                    waiting, now = [], place
-                if row.relation in seen or any(row.relation == r for r, _ in waiting):
+                    waiting, named, now = [], set(), place
+                if row.relation in seen or row.relation in named:
                     continue
                 vector = None if row.vector is None else np.asarray(row.vector, np.float64)
                 if vector is not None and n and np.round((matrix[:n] @ vector).max(), DECIMALS) >= tau:
                     continue
                 waiting.append((row.relation, vector))
+                named.add(row.relation)
                 new.append(row)
             yield pd.DataFrame(new, columns=frame.columns)
 
