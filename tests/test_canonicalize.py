@@ -123,6 +123,7 @@ def test_strategies_agree_and_blocks_too(spark, monkeypatch):
     want = rows(nearest(q, ["id"], "v", v, 5, "native"))
     assert rows(nearest(q, ["id"], "v", v, 5)) == want
     monkeypatch.setattr(similarity, "BLOCK", 7)
+    monkeypatch.setattr(similarity, "CELLS", 20)
     assert rows(nearest(q, ["id"], "v", v, 5)) == want
 
 

@@ -13,6 +13,8 @@ from tripleloom.storage import fits_broadcast
 
 #: Vectors of the vocabulary that are scored at once; a larger vocabulary is taken in blocks of so many.
 BLOCK = 20_000
+#: Scores that are held at once.
+CELLS = 4_000_000
 #: Decimals that scores are rounded to before they are ranked, so that the order of summation cannot decide.
 DECIMALS = 6
 
@@ -30,17 +32,18 @@ def _block_top(queries: DataFrame, keys: list[str], vector: str, rows: list, k:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ords, matrix = held.value
-        for batch in batches:
-            own = batch.column(batch.num_columns - 1)
-            if not len(own):
-                continue
-            vectors = own.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
-            scores = np.round(vectors @ matrix.T, DECIMALS)
-            order = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # rows come by ord, so ties keep that order
-            best = np.take_along_axis(scores, order, 1)
-            row, col = np.nonzero(best >= least)
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[:-1]), pa.array(ords[order[row, col]]), pa.array(best[row, col])], names=[*keys, "ord", "score"])
+        step = max(1, CELLS // len(ords))
+        for whole in batches:
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
+                own = batch.column(batch.num_columns - 1)
+                vectors = own.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
+                scores = np.round(vectors @ matrix.T, DECIMALS)
+                order = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # rows come by ord, so ties keep that order
+                best = np.take_along_axis(scores, order, 1)
+                row, col = np.nonzero(best >= least)
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[:-1]), pa.array(ords[order[row, col]]), pa.array(best[row, col])], names=[*keys, "ord", "score"])
 
     fields = ", ".join(f"`{c}` {queries.schema[c].dataType.simpleString()}" for c in keys)
     return queries.select(*keys, vector).where(F.col(vector).isNotNull()).mapInArrow(run, f"{fields}, ord bigint, score double")
