@@ -69,6 +69,22 @@ def test_plain_text(spark, tmp_path):
     assert rows(docs) == []
 
 
+def test_lines_are_numbered_over_splits_and_files(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    sizes = {"a": 700, "b": 3, "c": 2500, "d": 0, "e": 900}
+    for name, n in sizes.items():
+        write(tmp_path / f"d/{name}.txt", "".join(f"{name}{i}\n" for i in range(n)))
+    want = [f"{name}{i}" for name, n in sizes.items() for i in range(n)]
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        lines = documents.numbered_lines(spark, str(tmp_path / "d"))
+        assert lines.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+        assert {r.doc_ord: r.line for r in lines.collect()} == dict(enumerate(want))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
 def test_json_lines_of_three_layouts(spark, tmp_path):
     lines = [
         json.dumps({"iid": 5, "business summary": json.dumps({"summarization": "fine"})}), json.dumps({"iid": 7, "business summary": json.dumps({"x": 1})}), json.dumps({"iid": 8, "business summary": "not json"}),

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import ast
 import re
+import warnings
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -47,7 +48,9 @@ def bracketed(text: str) -> list[str]:
 def literal(text: str):
     """The Python literal that text is, or None."""
     try:
-        return ast.literal_eval(text)
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", SyntaxWarning)  # odd escapes are what the text has
+            return ast.literal_eval(text)
     except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
         return None
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripleloom.functions.parsers import literal
 from tripleloom.functions.text import strip
 from tripleloom.operators.schema import last_wins
+from tripleloom.storage import small
 
 
 def _is_object(text: str | None) -> bool:
@@ -31,9 +32,16 @@ def is_json_object(texts: pd.Series) -> pd.Series:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_ord, line): the lines of a text file or folder, numbered from 0 in the order of files and lines."""
-    lines = spark.read.text(path).select("value").rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-    return spark.createDataFrame(lines, "doc_ord bigint, line string")
+    """(doc_ord, line): the lines of a text file or folder, numbered from 0 in the order of file names and lines.
+
+    Lines are counted for each split of a file first; a line's number is the count of all splits before its own, and its place in it. Nothing
+    but the counts of splits is moved.
+    """
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row"))
+    splits = lines.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).select("_file", "_start", "_before")
+    return lines.join(small(offsets), ["_file", "_start"]).select((F.col("_before") + F.col("_row")).alias("doc_ord"), "line")
 
 
 def sniff(spark: SparkSession, path: str) -> str:
