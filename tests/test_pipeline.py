@@ -214,6 +214,23 @@ def test_a_model_as_verifier(spark):
     assert rows(grown.results) == [(0, "5", [["a", "r", "b"], ["a", "z", "c"]])] and rows(grown.schema.select("relation")) == [("r",), ("z",)]
 
 
+@pytest.mark.parametrize("unit", ["triple", "document", "all"])
+def test_a_model_sees_the_vocabulary_grow(spark, unit):
+    """Relations q... mean what the relation n that an earlier unit adds means; the model says so only where n is among the choices."""
+    lines = [[("a", "r", "b")], [("a", "n", "b"), ("c", "q1", "d")], [("a", "r", "b")], [("a", "q2", "b")], [], [("a", "m", "b"), ("a", "q1", "c")]]
+    docs = spark.createDataFrame([(i, str(i), str([list(t) for t in x])) for i, x in enumerate(lines)], "doc_ord bigint, iid string, text string")
+    schema = spark.createDataFrame([(0, "r", "it r", "file")], "ord bigint, relation string, definition string, origin string")
+    m = models()
+    letter = lambda x: F.regexp_extract(x, r"(?m)^([A-Z])\. 'n'", 1)
+    m.sc = providers.Rules(lambda i, x: F.when(F.contains(x, F.lit("Relation: q")), letter(x)).otherwise(""))
+    got = pipeline.run(docs, schema, Config(enrich_schema=True, batch_unit=unit), m)[0]
+    relations = {int(r.iid): [t[1] for t in r.triplets] for r in got.results.collect()}
+    q1, q2, q3 = {"triple": ("n", "n", "n"), "document": ("q1", "n", "q1"), "all": ("q1", "q2", "q1")}[unit]
+    assert relations == {0: ["r"], 1: ["n", q1], 2: ["r"], 3: [q2], 4: [], 5: ["m", q3]}
+    names = list(dict.fromkeys(["r", "n", *(x for x in (q1, q2) if x != "n"), "m"]))
+    assert [r.relation for r in got.schema.orderBy("ord").collect()] == names
+
+
 def test_no_documents(spark):
     docs = spark.createDataFrame([], "doc_ord bigint, iid string, text string")
     schema = spark.createDataFrame([(0, "r", "it r", "file")], "ord bigint, relation string, definition string, origin string")

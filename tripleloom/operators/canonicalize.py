@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripleloom.functions.similarity import DECIMALS, nearest
-from tripleloom.storage import small, written
+from tripleloom.storage import shared_path, small, written
 
 #: (candidates with relation, definition, score) -> the chosen candidate or null
 Verifier = Callable[[Column], Column]
@@ -169,22 +169,57 @@ def closed_by_model(triples: DataFrame, schema: DataFrame, embed: Callable[[Data
     return out.withColumn("canon", F.when(F.col("path") == "exact", F.col("p")).otherwise(F.col("_chosen"))).drop("_chosen", "text")
 
 
+def _grown(decided: DataFrame, schema: DataFrame, embed: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """The vocabulary with what decided triples have a null ``canon`` for, the first of each relation."""
+    from tripleloom.operators.schema import upsert
+
+    fresh = decided.where("canon IS NULL AND p IS NOT NULL").select(F.col("p").alias("relation"), F.coalesce("definition", "p").alias("definition"), F.struct("doc_ord", "pos").alias("at"))
+    first = fresh.groupBy("relation").agg(F.min_by("definition", "at").alias("definition"), F.min("at").alias("at"))
+    grown = upsert(schema.drop("embedding"), first)
+    vectors = embed(grown.join(schema.select("ord"), "ord", "left_anti"), "definition").select("ord", F.col("vector").alias("_v"))
+    return written(grown.join(schema.select("ord", "embedding"), "ord", "left").join(vectors, "ord", "left").withColumn("embedding", F.coalesce("embedding", "_v")).drop("_v"), "vocabulary")
+
+
 def enriched_in_batches(triples: DataFrame, schema: DataFrame, decide: Callable[[DataFrame, DataFrame], DataFrame], embed: Callable[[DataFrame, str], DataFrame], batches: list[Column]) -> tuple[DataFrame, DataFrame]:
     """(triples, schema): growth by any verifier, a batch of documents at a time.
 
     ``batches`` are conditions on triples, each a batch, in order; ``decide`` gives a batch and the vocabulary as of its start back with
     ``canon``. What it refuses joins the vocabulary after the batch. Batches are written as they are decided, so a verifier is asked once.
     """
-    from tripleloom.operators.schema import upsert
-
     done = None
     for condition in batches:
         part = written(decide(triples.where(condition), schema), "batch")
-        fresh = part.where("canon IS NULL AND p IS NOT NULL").select(F.col("p").alias("relation"), F.coalesce("definition", "p").alias("definition"), F.struct("doc_ord", "pos").alias("at"))
-        first = fresh.groupBy("relation").agg(F.min_by("definition", "at").alias("definition"), F.min("at").alias("at"))
-        grown = upsert(schema.drop("embedding"), first)
-        vectors = embed(grown.join(schema.select("ord"), "ord", "left_anti"), "definition").select("ord", F.col("vector").alias("_v"))
-        schema = written(grown.join(schema.select("ord", "embedding"), "ord", "left").join(vectors, "ord", "left").withColumn("embedding", F.coalesce("embedding", "_v")).drop("_v"), "vocabulary")
+        schema = _grown(part, schema, embed)
         part = part.withColumn("canon", F.coalesce("canon", "p"))
         done = part if done is None else done.unionByName(part)
     return done, schema
+
+
+def enriched_in_order(triples: DataFrame, schema: DataFrame, decide: Callable[[DataFrame, DataFrame], DataFrame], embed: Callable[[DataFrame, str], DataFrame], unit: str = "document") -> tuple[DataFrame, DataFrame]:
+    """(triples, schema): growth by any verifier, where each unit (triple, document) sees all that the units before it added; ``all`` is one batch.
+
+    A verifier may judge each triple on its own, so no verdict follows from another. But while nothing is refused the vocabulary stays as it
+    is: what is decided on it for many units at once stands up to and with the first unit that adds to it, and those after it are decided anew
+    on the grown one. Only units with a relation that the vocabulary does not have are counted; their number doubles while nothing is added
+    and is halved when something is. A verifier may thus be asked again about units that came after a refusal; one answer counts.
+    """
+    if unit == "all":
+        return enriched_in_batches(triples, schema, decide, embed, [F.lit(True)])
+    spark, target = triples.sparkSession, shared_path(triples.sparkSession, "decided")
+    at = F.struct("doc_ord", F.col("pos") if unit == "triple" else F.lit(0).alias("pos"))
+    place = lambda x: F.struct(F.lit(x.doc_ord).cast("bigint").alias("doc_ord"), F.lit(x.pos).cast("int").alias("pos"))
+    rest = rows = written(triples.repartitionByRange("doc_ord").sortWithinPartitions("doc_ord", "pos"), "triples")
+    width, last = 1, True
+    while last:
+        ahead = rest.where("p IS NOT NULL").join(small(schema.select(F.col("relation").alias("p"))), "p", "left_anti")
+        last = ahead.select(at.alias("at")).distinct().orderBy("at").limit(width).agg(F.max("at")).first()[0]
+        part = written(decide(rest.where(at <= place(last)) if last else rest, schema), "batch")
+        first = part.where("canon IS NULL AND p IS NOT NULL").agg(F.min(at)).first()[0]
+        if first:
+            last, part = first, part.where(at <= place(first))
+            schema = _grown(part, schema, embed)
+        width = max(1, width // 2) if first else 2 * width
+        part.withColumn("canon", F.coalesce("canon", "p")).write.mode("append").parquet(target)
+        if last:
+            rest = rows.where((F.col("doc_ord") >= last.doc_ord) & (at > place(last)))
+    return spark.read.schema(part.schema).parquet(target), schema

@@ -114,7 +114,7 @@ def canonical(triples: DataFrame, defined: DataFrame, schema: DataFrame, cfg: Co
         out, grown = canonicalize.enriched(rows, schema, models.embed, cfg.threshold, cfg.batch_unit, cfg.top_k)
         best = F.when(F.col("score").isNotNull(), F.array(F.struct(F.col("canon").alias("relation"), F.lit(None).cast("string").alias("definition"), "score")))
         return written(out.withColumn("candidates", best), "canonical"), grown
-    out, grown = canonicalize.enriched_in_batches(rows, schema, decide, models.embed, [F.lit(True)])
+    out, grown = canonicalize.enriched_in_order(rows, schema, decide, models.embed, cfg.batch_unit)
     return written(out, "canonical"), grown
 
 
