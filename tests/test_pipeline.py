@@ -231,6 +231,25 @@ def test_a_model_sees_the_vocabulary_grow(spark, unit):
     assert [r.relation for r in got.schema.orderBy("ord").collect()] == names
 
 
+def test_queries_over_whole_runs_know_the_whole_vocabulary(spark, tmp_path):
+    """One relation of the vocabulary for each of two beginnings, one that means the same as a known one, and one that nothing is near to."""
+    from tripleloom.queries import QUERIES
+
+    strange = "is by no means whatsoever comparable with or similar to anything that anybody knew before"
+    kg = [(0, "5", [["a", "is a", "b"]]), (1, "6", [["a", "provides", "b"]]), (2, "7", [["a", strange, "b"]]), (3, "8", [["c", "has feature", "d"]])]
+    schema = [(0, "serves", "The subject entity provides the object entity."), (1, "is a", "kind"), (2, "has feature", "trait")]
+    folder = str(tmp_path)
+    spark.createDataFrame(kg, "doc_ord bigint, iid string, triplets array<array<string>>").write.parquet(f"{folder}/canon_kg.parquet")
+    spark.createDataFrame([(*x, "file", [1.0, 0.0]) for x in schema], "ord bigint, relation string, definition string, origin string, embedding array<float>").write.parquet(f"{folder}/relation_schema.parquet")
+    spark.createDataFrame([(0, [0.0, 1.0])], "vec_id bigint, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
+    fixed = [(0, "5", "a|is a|b"), (1, "6", "a|serves|b"), (2, "7", ""), (3, "8", "c|has feature|d")]
+    assert rows(QUERIES["pipeline_run"](spark, folder)) == fixed
+    assert rows(QUERIES["refine_two_pass"](spark, folder)) == [*fixed[:2], (2, "7", f"a|{strange}|b"), fixed[3]]
+    assert [r.schema_canonicalizaiton for r in QUERIES["stage_trace"](spark, folder).orderBy("index").collect()] == [[["a", "is a", "b"]], [["a", "serves", "b"]], [None], [["c", "has feature", "d"]]]
+    streamed = rows(QUERIES["stream_enrich"](spark, folder).select("doc_ord", "path", "canon"))
+    assert [streamed[i] for i in (0, 3)] == [(0, "exact", "is a"), (3, "exact", "has feature")] and [x[2] for x in streamed[1:3]] == ["provides", strange]
+
+
 def test_no_documents(spark):
     docs = spark.createDataFrame([], "doc_ord bigint, iid string, text string")
     schema = spark.createDataFrame([(0, "r", "it r", "file")], "ord bigint, relation string, definition string, origin string")

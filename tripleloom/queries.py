@@ -484,7 +484,7 @@ def _run(spark: SparkSession, folder: str, **options) -> list[pipeline.Pass]:
     docs = table(spark, folder, "canon_kg").select("doc_ord", "iid", listed_lists(F.col("triplets")).alias("text"))
     echo = providers.Rules(lambda i, x: F.regexp_extract(x, r"(?s)Text: (.*?)(\nEntities: |$)", 1))
     models = pipeline.Models(oie=echo, sd=providers.Rules(definitions_by_rule), ee=echo)
-    known = _schema(spark, folder).where("relation LIKE 's%' OR relation LIKE 'l%'").drop("embedding")
+    known = _schema(spark, folder).drop("embedding")
     return pipeline.run(docs, known, Config(threshold=0.75, **options), models)
 
 
@@ -537,7 +537,7 @@ def stream_enrich(spark: SparkSession, folder: str) -> DataFrame:
     source = table(spark, folder, "canon_kg").schema
     stream = spark.readStream.schema(source).parquet(f"{folder}/canon_kg.parquet*")
     t = _defined(groups.long_triples(stream.select("doc_ord", F.col("triplets").alias("triples"))))
-    known = enrich.Vocabulary(_schema(spark, folder).where("relation LIKE 's%' OR relation LIKE 'l%'"))
+    known = enrich.Vocabulary(_schema(spark, folder))
     target = shared_path(spark, "stream-out")
     enrich.enrich_stream(t, known, _embed(spark, folder), TAU, target, shared_path(spark, "stream")).awaitTermination()
     return spark.read.parquet(target).select("doc_ord", "pos", "path", "canon")
