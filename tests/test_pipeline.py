@@ -250,6 +250,25 @@ def test_queries_over_whole_runs_know_the_whole_vocabulary(spark, tmp_path):
     assert [streamed[i] for i in (0, 3)] == [(0, "exact", "is a"), (3, "exact", "has feature")] and [x[2] for x in streamed[1:3]] == ["provides", strange]
 
 
+def test_unanswered_documents_are_set_apart(spark):
+    docs = spark.createDataFrame([(0, "5", "[['a','r','b']]"), (1, "6", "x")], "doc_ord bigint, iid string, text string")
+    m = models()
+    m.oie = providers.Rules(lambda i, x: F.when(F.contains(x, F.lit("Text: x")), None).otherwise("[['a','r','b']]"))
+    _, long, bad = pipeline.extract(docs, None, Config(), m)
+    assert rows(bad) == [(1, pipeline.UNANSWERED)] and rows(long.select("doc_ord", "p")) == [(0, "r")]
+
+
+def test_a_busy_endpoint_is_given_time():
+    from urllib.error import HTTPError
+
+    def failing(code):
+        raise HTTPError("http://x", code, "", None, None)
+
+    for code, want in ((429, [4.0, 16.0]), (503, [4.0, 16.0]), (500, [1.0, 1.0])):
+        slept = []
+        assert providers.with_retries(lambda: failing(code), 3, 1.0, slept.append) is None and slept == want
+
+
 def test_no_documents(spark):
     docs = spark.createDataFrame([], "doc_ord bigint, iid string, text string")
     schema = spark.createDataFrame([(0, "r", "it r", "file")], "ord bigint, relation string, definition string, origin string")

@@ -82,13 +82,16 @@ class RateLimiter:
 
 
 def with_retries(call: Callable[[], str], attempts: int, pause: float, sleep: Callable[[float], None] = time.sleep) -> str | None:
-    """The result of a call, tried at most ``attempts`` times with a pause between; None if all fail."""
+    """The result of a call, tried at most ``attempts`` times with a pause between; None if all fail.
+
+    An endpoint that is too busy (429, 503) is given four times the pause, then each time four times as long as before.
+    """
     for k in range(attempts):
         try:
             return call()
-        except (OSError, ValueError):
+        except (OSError, ValueError) as e:
             if k + 1 < attempts:
-                sleep(pause)
+                sleep(pause * 4 ** (k + 1) if getattr(e, "code", None) in (429, 503) else pause)
     return None
 
 

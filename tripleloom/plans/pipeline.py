@@ -37,6 +37,9 @@ TEMPLATES = {
     "em_input": "Text: {input_text}\nFirst: {entity_list_1}\nSecond: {entity_list_2}",
 }
 
+#: What is set apart for a document whose extraction prompt got no completion.
+UNANSWERED = "no completion"
+
 
 def template(cfg: Config, name: str) -> str:
     path = getattr(cfg, f"{name}_template_file_path")
@@ -83,8 +86,8 @@ def extract(documents: DataFrame, hinted: DataFrame | None, cfg: Config, models:
     relations = F.lit("") if hinted is None else F.coalesce("relation_hint", F.lit(""))
     prompt = fill(template(cfg, f"{kind}_input"), input_text=F.col("text"), entities_hint=entities, relations_hint=relations, item_id=F.col("iid"))
     asked = rows.select("doc_ord", "iid", "text", F.lit(instructions).alias("instructions"), prompt.alias("input"))
-    answers = models.oie.complete(asked).select("doc_ord", "text", parsed_triples(F.col("completion"), cfg.strict_arity).alias("a"))
-    kept = written(answers.select("doc_ord", "text", "a.triples", "a.rejects"), "oie")
+    answers = models.oie.complete(asked).select("doc_ord", "text", F.col("completion").isNull().alias("unanswered"), parsed_triples(F.col("completion"), cfg.strict_arity).alias("a"))
+    kept = written(answers.select("doc_ord", "text", "a.triples", F.when(F.col("unanswered"), F.array(F.lit(UNANSWERED))).otherwise(F.col("a.rejects")).alias("rejects")), "oie")
     long = groups.long_triples(kept, keys=("doc_ord", "text"))
     return kept.select("doc_ord", "triples"), long, kept.select("doc_ord", F.explode("rejects").alias("reject"))
 
