@@ -2,6 +2,7 @@ import json
 import random
 
 import numpy as np
+import regex
 
 from conftest import rows
 from tripleloom.llm import nearsets
@@ -116,3 +117,38 @@ def test_marks_bound_the_difference():
         other = np.concatenate([base[4:], rng.integers(0, 2**63, 3, dtype=np.uint64)])
         a, b = (int(nearsets._marks(x, np.array([len(x)])).view(np.uint64)[0]) for x in (base, other))
         assert (a ^ b).bit_count() <= 7
+
+
+def test_word_sets_of_ascii_and_of_other_texts():
+    for text in ("A b_C, a-B9 x'y\x1fz\x00", "Äpfel ÄPFEL b_C İstanbul ½ ²x"):
+        assert nearsets._word_set(text) == " ".join(sorted({x.lower() for x in regex.findall(r"[\p{L}\p{N}]+", text)}))
+    assert nearsets._word_set(None) is None and nearsets._word_set("...") == ""
+
+
+def test_links_say_what_the_pairs_say(spark):
+    texts = corpus(random.Random(5), 200) + ["one two three four five six seven eight nine ten"] * 30 + [None, "too short"]
+    links = {i: 0 for i, x in enumerate(texts) if x and len(set(x.split())) >= 8}
+    for a, b in brute([x or "" for x in texts]):
+        links[a] += 1
+        links[b] += 1
+    got = nearsets.linked_profiles(profiles(spark, texts)).collect()
+    assert {r.doc_ord: r.links for r in got} == links
+    assert {r.class_id for r in got if r.doc_ord in range(200, 230)} == {200}
+
+
+def test_classes_of_more_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(nearsets, "BLOCK", 7)
+    texts = ["a b c d e f g h i j"] * 50 + ["a b c d e f g h i j k"] * 20 + ["a b c d e f g h i x y z"]
+    assert sorted(map(tuple, nearsets.near_profiles(profiles(spark, texts)).collect())) == brute(texts)
+
+
+def test_nothing_that_grows_is_broadcast(spark):
+    """With a limit that all tables here are below, the joins of keys and of word sets still go by shuffle."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100m")
+    try:
+        _, reps = nearsets.classes(nearsets.profile_sets(profiles(spark, corpus(random.Random(6), 60))))
+        plan = nearsets.similar_sets(reps)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

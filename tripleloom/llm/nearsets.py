@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,21 +23,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripleloom.functions import strict_json
-from tripleloom.storage import even_join, written
+from tripleloom.storage import delete, even_join, merge_join, small, written
 
-#: Cells of the count sketch: its size is fixed, whatever the number of rows.
-SKETCH = 1 << 20
+#: Least and most cells of the count sketch. Between them it has four for each set; beyond, costs are told apart less finely, results stay exact.
+SKETCH = (1 << 20, 1 << 24)
+#: Members of a class that are paired at once.
+BLOCK = 1000
 
+#: A longest run of letters and digits: what \w holds but the underscore.
+_WORDS = re.compile(r"[^\W_]+").findall
+#: For texts of ASCII alone: all but letters and digits become blanks.
+_BLANKS = {c: " " for c in range(128) if not chr(c).isalnum()}
 
-def _word_set(text: str | None) -> list[str] | None:
-    import regex
 
-    return None if text is None else sorted({x.lower() for x in regex.findall(r"[\p{L}\p{N}]+", text)})
+def _word_set(text: str | None) -> str | None:
+    if text is None:
+        return None
+    return " ".join(sorted(set(text.lower().translate(_BLANKS).split()) if text.isascii() else {x.lower() for x in _WORDS(text)}))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
+@F.pandas_udf(T.StringType())
 def summary_words(profiles: pd.Series) -> pd.Series:
-    """The distinct words of the readable summary of a profile, sorted; null if there is none."""
+    """The distinct words of the readable summary of a profile, sorted, with blanks between; null if there is none."""
     return profiles.map(lambda x: _word_set(strict_json.summarization(x)))
 
 
@@ -133,21 +141,21 @@ def _levels(one: list[float], both: list[float], need: int) -> list[int]:
     return level
 
 
-def _sketched(sets: DataFrame, bands: Bands) -> np.ndarray:
-    """About how many sets are stored under the keys of each cell, less what a cell has by chance; over all sets, in a fixed number of cells."""
+def _sketched(sets: DataFrame, bands: Bands, size: int) -> np.ndarray:
+    """About how many sets are stored under the keys of each of ``size`` cells, less what a cell has by chance; over all sets."""
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SKETCH, np.int64)
+        counts = np.zeros(size, np.int64)
         for batch in batches:
             hashes, sizes = _batch(batch)
             if len(sizes):
                 cut = _Layout(hashes, sizes, bands.of_all(sizes), bands.segment_table(sizes))
-                counts += np.bincount((np.concatenate([cut.whole[0], cut.less[1]]) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+                counts += np.bincount((np.concatenate([cut.whole[0], cut.less[1]]) % np.uint64(size)).astype(np.int64), minlength=size)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["cell", "n"])
 
     rows = sets.mapInArrow(cells, "cell int, n bigint").groupBy("cell").agg(F.sum("n").cast("float").alias("n")).toArrow()
-    sketch = np.zeros(SKETCH, np.float32)
+    sketch = np.zeros(size, np.float32)
     sketch[rows["cell"].to_numpy()] = rows["n"].to_numpy()
     return np.maximum(sketch - np.median(sketch), 0)
 
@@ -161,7 +169,8 @@ def similar_sets(sets: DataFrame, similarity: float = 0.75, least: int = 8) -> D
     """
     bands = Bands(similarity, least)
     hashed = sets.select("id", F.transform("ws", lambda w: F.xxhash64(w)).alias("hs"))
-    sketch = sets.sparkSession.sparkContext.broadcast(_sketched(hashed, bands))
+    cells = 1 << min(max(4 * sets.count(), SKETCH[0]), SKETCH[1]).bit_length() - 1
+    sketch = sets.sparkSession.sparkContext.broadcast(_sketched(hashed, bands, cells))
 
     def rows_of(ids: pa.Array, own: np.ndarray, keys: np.ndarray, sizes: np.ndarray, marks: np.ndarray, names: list[str]) -> pa.RecordBatch:
         columns = [pa.array(keys.view(np.int64)), ids.take(pa.array(own)), pa.array(sizes[own].astype(np.int32)), pa.array(marks[own])]
@@ -176,7 +185,7 @@ def similar_sets(sets: DataFrame, similarity: float = 0.75, least: int = 8) -> D
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
-        cost = lambda keys: counts[(keys % np.uint64(SKETCH)).astype(np.int64)] + np.float32(1)
+        cost = lambda keys: counts[(keys % np.uint64(cells)).astype(np.int64)] + np.float32(1)
         for batch in batches:
             hashes, sizes = _batch(batch)
             if not len(sizes):
@@ -207,65 +216,93 @@ def similar_sets(sets: DataFrame, similarity: float = 0.75, least: int = 8) -> D
     fits = (F.col("na") >= F.lit(similarity) * F.col("nb") - 1e-9) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
     differ = F.bit_count(F.col("ma").bitwiseXOR(F.col("mb")))
     close = differ <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("na") + F.col("nb")) + 1e-9
-    pairs = kept.join(looked, "key").where(fits & close).select("a", "b").distinct()
+    pairs = merge_join(kept, looked, "key").where(fits & close).select("a", "b").distinct()
     first = sets.select(F.col("id").alias("a"), F.col("ws").alias("wa"))
     second = sets.select(F.col("id").alias("b"), F.col("ws").alias("wb"))
-    both = pairs.join(first, "a").join(second, "b").withColumn("common", F.size(F.array_intersect("wa", "wb")))
+    both = merge_join(merge_join(pairs, first, "a"), second, "b").withColumn("common", F.size(F.array_intersect("wa", "wb")))
     both = both.withColumn("united", F.size("wa") + F.size("wb") - F.col("common")).where(F.col("common") >= F.lit(similarity) * F.col("united") - 1e-9)
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "common", "united")
 
 
 def profile_sets(profiles: DataFrame, least: int = 8) -> DataFrame:
-    """(doc_ord, ws) of the profiles that take part: those with a readable summary of at least ``least`` distinct words."""
-    return profiles.select("doc_ord", summary_words("business_summary").alias("ws")).where(F.size("ws") >= least)
+    """(doc_ord, ws) of the profiles that take part: those with a readable summary of at least ``least`` distinct words, which ws holds as one text."""
+    return profiles.select("doc_ord", summary_words("business_summary").alias("ws")).where(F.size(F.split("ws", " ")) >= least).where("ws <> ''")
 
 
 def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((doc_ord, id), (id, ws)): each profile with the class of equal sets it is in, named by its smallest doc_ord, and each class's set."""
-    spark_sets = written(sets, "sets")
-    keyed = spark_sets.groupBy("ws").agg(F.min("doc_ord").alias("id"), F.count(F.lit(1)).alias("n"))
-    reps = written(keyed.select("id", "ws", "n"), "classes")
-    many = reps.where("n > 1")
+    """((doc_ord, id, n), (id, ws)): each profile with the class of equal sets it is in, named by its smallest doc_ord, and the class's number of profiles; each class's set."""
+    rows = written(sets, "sets")
+    reps = written(rows.groupBy("ws").agg(F.min("doc_ord").alias("id"), F.count(F.lit(1)).alias("n")), "classes")
+    many = reps.where("n > 1").select("ws", "id", "n", F.col("n").alias("_n"))
     total = reps.agg(F.sum("n")).first()[0] or 0
-    members = even_join(spark_sets, many, ["ws"], "n", total).select("doc_ord", "id").unionByName(reps.where("n = 1").select(F.col("id").alias("doc_ord"), "id"))
-    return members, reps.select("id", "ws")
+    members = even_join(rows, many, ["ws"], "_n", total, cheap=True).select("doc_ord", "id", "n").unionByName(reps.where("n = 1").select(F.col("id").alias("doc_ord"), "id", "n"))
+    return written(members, "members"), reps.select("id", F.split("ws", " ").alias("ws"), "n")
 
 
 def near_profiles(profiles: DataFrame, similarity: float = 0.75, least: int = 8) -> DataFrame:
     """(doc_ord_a, doc_ord_b), smaller first: all pairs of profiles that are similar, equal sets included.
 
-    Profiles that are null, cut off, without the key or with fewer than ``least`` distinct words take no part.
+    Profiles that are null, cut off, without the key or with fewer than ``least`` distinct words take no part. Classes are spread out block by
+    block of their members, so that a class of a third of all profiles is many small groups.
     """
     members, reps = classes(profile_sets(profiles, least))
-    members = written(members, "members")
-    pairs = similar_sets(reps, similarity, least).select("a", "b").unionByName(reps.select(F.col("id").alias("a"), F.col("id").alias("b")))
-    left = members.select(F.col("id").alias("a"), F.col("doc_ord").alias("x"))
-    right = members.select(F.col("id").alias("b"), F.col("doc_ord").alias("y"))
-    rows = pairs.join(left, "a").join(right, "b").where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    every = reps.select("id", blocks(F.col("n")).alias("k"))
+    pairs = similar_sets(reps, similarity, least).select("a", "b").unionByName(reps.where("n > 1").select(F.col("id").alias("a"), F.col("id").alias("b")))
+    wide = small(every.where("k > 1"))  # classes of more than a block
+    pairs = pairs.join(wide.select(F.col("id").alias("a"), F.col("k").alias("ka")), "a", "left").join(wide.select(F.col("id").alias("b"), F.col("k").alias("kb")), "b", "left")
+    upto = lambda k: F.explode(F.sequence(F.lit(0), F.coalesce(k, F.lit(1)) - 1))
+    pairs = pairs.select("a", "b", "kb", upto(F.col("ka")).alias("ia")).select("a", "b", "ia", upto(F.col("kb")).alias("ib"))
+    placed = members.select("id", "doc_ord", F.pmod(F.xxhash64("doc_ord"), blocks(F.col("n"))).cast("int").alias("i"))
+    left = placed.select(F.col("id").alias("a"), F.col("i").alias("ia"), F.col("doc_ord").alias("x"))
+    right = placed.select(F.col("id").alias("b"), F.col("i").alias("ib"), F.col("doc_ord").alias("y"))
+    rows = merge_join(merge_join(pairs, left, ["a", "ia"]), right, ["b", "ib"]).where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
     return rows.select(F.least("x", "y").alias("doc_ord_a"), F.greatest("x", "y").alias("doc_ord_b"))
 
 
+def linked_profiles(profiles: DataFrame, similarity: float = 0.75, least: int = 8) -> DataFrame:
+    """(doc_ord, class_id, links): each profile that takes part, with its class of equal sets and the number of other profiles it is similar to.
+
+    The form for large collections: it says all that the pairs say, but copies are never spread out into pairs.
+    """
+    members, reps = classes(profile_sets(profiles, least))
+    found = similar_sets(reps, similarity, least).select("a", "b")
+    ends = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = merge_join(ends, reps.select(F.col("id").alias("b"), "n"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("near"))
+    links = merge_join(reps.select("id"), near, "id", "left").select("id", F.coalesce("near", F.lit(0)).alias("near"))
+    rows = even_join(members, merge_join(links, reps.select("id", F.col("n").alias("_n")), "id"), ["id"], "_n", members.count())
+    return rows.select("doc_ord", F.col("id").alias("class_id"), (F.col("n") - 1 + F.col("near")).alias("links"))
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, group): the smallest id that each node is connected with.
 
     Large-star and small-star rounds by turns until nothing changes; both shrink the paths, so the number of rounds grows with the logarithm
-    of a component's diameter. Each round is written to the shared folder; nothing but a count comes to the driver.
+    of a component's diameter. Each round is written to the shared folder, over which the round before is deleted; nothing but two sums comes
+    to the driver. A round has changed nothing when the edges' number and the sum of their hashes stay.
     """
+    spark = nodes.sparkSession
+    state = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     now = written(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct(), "edges")
+    before = state(now)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = merge_join(both, low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = written(large.where("u <> v"), "edges")
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        after = written(small.where("u <> v").distinct(), "edges")
-        same = after.count() == now.count() and after.join(now, ["u", "v"], "left_anti").isEmpty()
-        now = after
+        step = merge_join(down, least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        after = written(step.where("u <> v").distinct(), "edges")
+        for old in (now, large):
+            for path in old.inputFiles()[:1]:
+                delete(spark, path.rsplit("/", 1)[0])
+        now, same = after, state(after) == before
+        before = state(after) if not same else before
         if same:
             break
-    return nodes.select("id").join(now.select(F.col("u").alias("id"), F.col("v").alias("low")), "id", "left").groupBy("id").agg(F.coalesce(F.min("low"), F.col("id")).alias("group"))
+    low = now.select(F.col("u").alias("id"), F.col("v").alias("low")).groupBy("id").agg(F.min("low").alias("low"))
+    return merge_join(nodes.select("id"), low, "id", "left").select("id", F.coalesce("low", F.col("id")).alias("group"))
 
 
 def profile_groups(profiles: DataFrame, similarity: float = 0.75, least: int = 8) -> DataFrame:
@@ -274,7 +311,7 @@ def profile_groups(profiles: DataFrame, similarity: float = 0.75, least: int = 8
     Profiles that take no part in the comparison come out too, each as its own group.
     """
     members, reps = classes(profile_sets(profiles, least))
-    members = written(members, "members")
     found = components(reps, similar_sets(reps, similarity, least))
-    inside = members.join(found, "id").select("doc_ord", "group")
-    return profiles.select("doc_ord").join(inside, "doc_ord", "left").select("doc_ord", F.coalesce("group", "doc_ord").alias("group"))
+    sized = merge_join(found, reps.select("id", F.col("n").alias("_n")), "id")
+    inside = even_join(members, sized, ["id"], "_n", members.count()).select("doc_ord", "group")
+    return merge_join(profiles.select("doc_ord"), inside, "doc_ord", "left").select("doc_ord", F.coalesce("group", "doc_ord").alias("group"))

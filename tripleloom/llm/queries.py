@@ -36,6 +36,11 @@ def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
     return nearsets.profile_groups(table(spark, folder, "item_profiles"))
 
 
+def p3_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Every profile that takes part, with its class of equal summaries and how many other profiles it is similar to."""
+    return nearsets.linked_profiles(table(spark, folder, "item_profiles"))
+
+
 def _counted(spark: SparkSession, folder: str) -> terms.TermCounts:
     """Counts of relation_examples: the rows that came in on time, then the late ones as a change of their own."""
     rows = table(spark, folder, "relation_examples").select("triplet", F.coalesce(F.col("ingested_at") - F.col("extracted_at") > F.expr("INTERVAL 1 DAY"), F.lit(False)).alias("late"))
@@ -79,7 +84,7 @@ def p8_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.pieces(table(spark, folder, "documents"), table(spark, folder, "split_limits"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p2_distinct": p2_distinct, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p5_counts": p5_counts, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_pieces": p8_pieces}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p2_distinct": p2_distinct, "p3_found": p3_found, "p3_groups": p3_groups, "p3_links": p3_links, "p5_found": p5_found, "p5_counts": p5_counts, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_pieces": p8_pieces}
 
 _CORE = r"regexp_replace(lower({}), '[\s\x0B\x1C-\x1F\x{{85}}\x{{200B}}\p{{Z}}\p{{P}}]+', '', 'g')"
 _CORES = "list_transform(triplet, lambda x: " + _CORE.format("x") + ")"
@@ -94,7 +99,15 @@ hits AS (SELECT example_id, lower(unnest(regexp_extract_all(x, '[\p{L}\p{N}]+'))
 counted AS (SELECT term, count(*) AS occurrences, count(DISTINCT example_id) AS examples FROM hits GROUP BY term),
 marked AS (SELECT *, CASE WHEN examples < 3 THEN 'rare' WHEN examples > 0.05 * (SELECT count(*) FROM relation_examples) THEN 'common' END AS mark FROM counted)"""
 
+_SETS = r"""
+sets AS (SELECT doc_ord, list_distinct(list_transform(regexp_extract_all(business_summary::JSON ->> '$.summarization', '[\p{L}\p{N}]+'), lambda x: lower(x))) AS ws FROM item_profiles
+  WHERE CASE WHEN json_valid(business_summary) THEN json_type(business_summary::JSON, '$.summarization') = 'VARCHAR' ELSE false END),
+near AS (SELECT a.doc_ord AS a, b.doc_ord AS b FROM sets a JOIN sets b ON a.doc_ord < b.doc_ord AND len(a.ws) >= 8 AND len(b.ws) >= 8 AND least(len(a.ws), len(b.ws)) >= 0.75 * greatest(len(a.ws), len(b.ws))
+  WHERE len(list_intersect(a.ws, b.ws)) >= 0.75 * (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws))))"""
+
 ORACLES: dict[str, str] = {
+    "p3_found": f"WITH {_SETS} SELECT a AS doc_ord_a, b AS doc_ord_b FROM near",
+    "p3_links": f"WITH {_SETS}, ends AS (SELECT a AS d FROM near UNION ALL SELECT b FROM near) SELECT doc_ord, min(doc_ord) OVER (PARTITION BY list_sort(ws)) AS class_id, coalesce(n, 0) AS links FROM sets LEFT JOIN (SELECT d, count(*) AS n FROM ends GROUP BY d) ON d = doc_ord WHERE len(ws) >= 8",
     "p2_found": f"WITH {_WHOLE} SELECT keep_id, example_id FROM (SELECT example_id, min(example_id) OVER (PARTITION BY c) AS keep_id FROM whole) WHERE example_id <> keep_id",
     "p2_distinct": f"WITH {_WHOLE} SELECT min(example_id) AS keep_id, count(*) AS copies, count(DISTINCT triplet) AS spellings FROM whole JOIN relation_examples USING (example_id) GROUP BY c",
     "p5_found": f"WITH {_TERMS} SELECT term, mark FROM marked WHERE mark IS NOT NULL",
