@@ -2,7 +2,9 @@
 
 import os
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from conftest import rows
@@ -146,5 +148,35 @@ def test_pieces_end_where_the_topic_changes(spark):
     assert [p.text.strip() for p in got] == [x.strip() for x in (fish, stars, fish, stars)]
 
 
+def test_cosine_against_counters():
+    rng = np.random.default_rng(3)
+    a, b = (rng.integers(-1, 6, (50, 12)) for _ in range(2))
+    a[0] = -1
+    for x, y, got in zip(a, b, pieces._cosine(a, b)):
+        x, y = Counter(x[x >= 0].tolist()), Counter(y[y >= 0].tolist())
+        dot, norm = sum(x[k] * y[k] for k in x), (sum(v * v for v in x.values()) * sum(v * v for v in y.values())) ** 0.5
+        assert abs(got - (dot / norm if norm else 0.0)) < 1e-12
+
+
+@pytest.mark.parametrize("fill", [0.0, 0.5])
+def test_every_cut_is_the_deepest_valley_of_its_window(spark, fill):
+    rng = random.Random(11)
+    topics = [[f"{c}{x}" for x in ("alpha", "river", "stone", "garden")] for c in "abcd"]
+    text = " ".join(" ".join(rng.choices(topics[i // 9 % 4], k=rng.randint(4, 9))) + "." for i in range(120))
+    words = tokens.Words(f"{tokens.FOLDER}/{tokens.NAME}.tiktoken")
+    kinds = pieces._Kinds(words, 4)
+    (ws,) = words.split([text])
+    kinds.update()
+    o = pieces.Cohesion(block=20, fill=fill)
+    t = pieces._Text(ws, words.numbers(ws), words, kinds, o)
+    where, depth = t.at[t.pauses], t.depth
+    found = list(t.pieces(200, 20))
+    assert len(found) > 5
+    for k, (start, _, end, _) in enumerate(found[:-1]):
+        low = max(found[k - 1][2] if k else 0, start + 23)
+        inside = [i for i, x in enumerate(where) if max(low, start + int(200 * fill)) < x <= start + 200]
+        assert end in where and depth[list(where).index(end)] == max(depth[i] for i in inside)
+
+
 def test_pieces_of_nothing(spark):
     assert rows(pieces.pieces(documents(spark, [("a", "x")]).limit(0), limits(spark))) == []

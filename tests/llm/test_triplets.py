@@ -66,7 +66,7 @@ def plain_counts(triplets):
 def test_terms_follow_changes(spark, tmp_path):
     rng = random.Random(2)
     now = dict(enumerate(messy(rng, 400)))
-    kept = terms.TermCounts(spark, str(tmp_path / "t"), buckets=4)
+    kept = terms.TermCounts(spark, str(tmp_path / "t"), terms=5)
     kept.apply(examples(spark, now.values()))
     assert sorted(map(tuple, kept.counts().collect())) == plain_counts(now.values()) and kept.records == 400
     for step in range(3):
@@ -80,11 +80,32 @@ def test_terms_follow_changes(spark, tmp_path):
                 del now[i]
         changes += [(["neu", f"w{step}", None], 1), (None, 1), (["gone"], 1), (["gone"], -1)]
         now |= {1000 + 10 * step: ["neu", f"w{step}", None], 1001 + 10 * step: None}
-        kept = terms.TermCounts(spark, str(tmp_path / "t"), buckets=4)  # as another run would find it
+        kept = terms.TermCounts(spark, str(tmp_path / "t"), terms=5)  # as another run would find it
         kept.apply(spark.createDataFrame(changes, "triplet array<string>, sign int"), sign="sign")
         assert sorted(map(tuple, kept.counts().collect())) == plain_counts(now.values()) and kept.records == len(now)
 
 
+def test_a_change_counts_once_and_partitions_double(spark, tmp_path):
+    triplets = messy(random.Random(4), 100) + [[f"t{i}", None] for i in range(60)]
+    kept = terms.TermCounts(spark, str(tmp_path / "t"), terms=5)
+    assert kept.apply(examples(spark, triplets[:80]), change="a") and not kept.apply(examples(spark, triplets[:80]), change="a")
+    few = kept.buckets
+    again = terms.TermCounts(spark, str(tmp_path / "t"), terms=5)  # a job that is tried once more, and does not know that it had ended
+    assert not again.apply(examples(spark, triplets[:80]), change="a")
+    assert again.apply(examples(spark, triplets[80:]), change="b") and again.buckets > few >= 1
+    assert sorted(map(tuple, again.counts().collect())) == plain_counts(triplets) and again.records == 160
+
+
+def test_of_two_writers_one_fails(spark, tmp_path):
+    first, second = (terms.TermCounts(spark, str(tmp_path / "t")) for _ in range(2))
+    first.apply(examples(spark, [["a"]]))
+    with pytest.raises(RuntimeError):
+        second.apply(examples(spark, [["b"]]))
+    second.load()
+    second.apply(examples(spark, [["b"]]))
+    assert rows(terms.TermCounts(spark, str(tmp_path / "t")).counts()) == [("a", 1, 1), ("b", 1, 1)]
+
+
 def test_terms_of_nothing_and_marks(spark, tmp_path):
     kept = terms.TermCounts(spark, str(tmp_path / "t"))
     kept.apply(examples(spark, []))
