@@ -14,8 +14,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripleloom.functions.similarity import DECIMALS, nearest
-from tripleloom.storage import shared_path, small, written
+from tripleloom.functions.similarity import DECIMALS, near, nearest, rising
+from tripleloom.storage import merge_join, shared_path, small, written
+
+#: Pairs that are folded in order at first, and scored at once while they are.
+CHUNK, FOLDED = 20_000, 1000
 
 #: (candidates with relation, definition, score) -> the chosen candidate or null
 Verifier = Callable[[Column], Column]
@@ -62,48 +65,91 @@ def closed(triples: DataFrame, schema: DataFrame, embed: Callable[[DataFrame, st
 # order. Given the history, all triples are resolved in parallel: what a pair saw at a time is the best among the relations that were there.
 
 
-def growth(pairs: DataFrame, schema: DataFrame, tau: float, unit: str = "document") -> DataFrame:
-    """(relation, definition, vector, doc_ord, pos): the relations that join the vocabulary, at the triple that brings each.
+def _fold(unit: str, tau: float):
+    """The ordered fold over frames of pairs that the vocabulary so far refuses: what joins it.
 
-    pairs has (relation, definition, vector, doc_ord, pos), each distinct pair once with the place of its first triple; a null vector stands
-    for no definition. ``unit`` says from when on a new relation is seen: the next triple, the next document, or never (all). The fold is one
-    ordered pass that holds nothing but the vocabulary.
+    A block of pairs is scored at once against what had joined before it, and within itself; only the verdicts are taken one by one.
     """
-    base = schema.where("embedding IS NOT NULL").select("relation", "embedding").collect()
-    names = {r.relation for r in schema.select("relation").collect()}
-    dims = len(base[0].embedding) if base else 0
-    start = np.array([r.embedding for r in base], np.float64).reshape(len(base), dims)
+
+    folded = FOLDED
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, matrix, n = set(names), start, len(start)
-        waiting, named, now = [], set(), None
+        seen, held = set(), []  # held: vectors that are seen, a matrix for each block
+        waiting, named, now = [], set(), None  # of the unit at hand: (block, row) of its new relations, and their names
         for frame in frames:
-            new = []
-            for row in frame.itertuples(index=False):
-                place = {"triple": (row.doc_ord, row.pos), "document": row.doc_ord, "all": 0}[unit]
-                if place != now:
-                    for relation, vector in waiting:
-                        seen.add(relation)
-                        if vector is not None:
-                            if n == len(matrix):
-                                wider = np.zeros((max(64, 2 * n), len(vector)))
-                                wider[:n] = matrix[:n] if n else wider[:n]
-                                matrix = wider
-                            matrix[n] = vector
-                            n += 1
-                    waiting, named, now = [], set(), place
-                if row.relation in seen or row.relation in named:
-                    continue
-                vector = None if row.vector is None else np.asarray(row.vector, np.float64)
-                if vector is not None and n and np.round((matrix[:n] @ vector).max(), DECIMALS) >= tau:
-                    continue
-                waiting.append((row.relation, vector))
-                named.add(row.relation)
-                new.append(row)
-            yield pd.DataFrame(new, columns=frame.columns)
-
-    ordered = pairs.select("relation", "definition", "vector", "doc_ord", "pos").coalesce(1).sortWithinPartitions("doc_ord", "pos")
-    return ordered.mapInPandas(fold, "relation string, definition string, vector array<float>, doc_ord bigint, pos int")
+            for start in range(0, len(frame), folded):
+                part = frame.iloc[start : start + folded]
+                has = part["vector"].notna().to_numpy()
+                dims = len(part["vector"].iloc[int(has.argmax())]) if has.any() else 0
+                block = np.zeros((len(part), dims))
+                if has.any():
+                    block[has] = np.stack(part["vector"][has].to_list())
+                old = np.zeros(len(part), bool)
+                for m in held:
+                    old |= np.round((block @ m.T).max(1), DECIMALS) >= tau
+                inner = np.round(block @ block.T, DECIMALS) >= tau
+                joined, new, carried = [], [], waiting
+                waiting = []
+                late = None if not carried else np.stack(carried)
+                late_near = np.zeros(len(part), bool) if late is None else np.round((block @ late.T).max(1), DECIMALS) >= tau
+                late_seen = False
+                for i, (relation, doc, pos) in enumerate(zip(part["relation"], part["doc_ord"], part["pos"])):
+                    place = {"triple": (doc, pos), "document": doc, "all": 0}[unit]
+                    if place != now:
+                        seen |= named
+                        joined += waiting
+                        late_seen = True
+                        waiting, named, now = [], set(), place
+                    if relation in seen or relation in named:
+                        continue
+                    if has[i] and (old[i] or (late_seen and late_near[i]) or (joined and inner[i, joined].any())):
+                        continue
+                    named.add(relation)
+                    new.append(i)
+                    if has[i]:
+                        waiting.append(i)
+                if late is not None and late_seen:
+                    held.append(late)
+                if joined:
+                    held.append(block[joined])
+                waiting = [*([] if late is None or late_seen else carried), *(block[i] for i in waiting)]
+                yield part.iloc[new]
+
+    return fold
+
+
+def growth(pairs: DataFrame, schema: DataFrame, tau: float, unit: str = "document") -> DataFrame:
+    """(relation, definition, vector, doc_ord, pos): the relations that join the vocabulary, at the triple that brings each.
+
+    pairs has (relation, definition, vector, doc_ord, pos), each distinct pair once with the place of its first triple; a null vector stands
+    for no definition. ``unit`` says from when on a new relation is seen: the next triple, the next document, or never (all). Pairs that the
+    vocabulary accepts are set aside in parallel; the first of the others are folded in order, by one task; those after them are set aside in
+    parallel again where they are near to what joined, and so on with twice as many. So only pairs that are like none before them wait for
+    one another.
+    """
+    columns = ["relation", "definition", "vector", "doc_ord", "pos"]
+    ddl = "relation string, definition string, vector array<float>, doc_ord bigint, pos int"
+    rest, against, many, done = pairs.select(columns), schema.select("relation", "ord", "embedding"), CHUNK, None
+    at = {"triple": F.struct("doc_ord", "pos"), "document": F.struct("doc_ord"), "all": F.struct(F.lit(0).alias("doc_ord"))}[unit]
+    while True:
+        left = rest.join(small(against.select("relation")), "relation", "left_anti")
+        if not (done is not None and unit == "all"):
+            taken = near(left.select("definition", "vector").dropDuplicates(["definition"]), ["definition"], "vector", against.select("ord", "embedding"), tau).distinct()
+            left = merge_join(left, taken, "definition", "left_anti")
+        rest = written(left.select(columns), "waiting")
+        last = rest.select(at.alias("at")).orderBy("at").limit(many).agg(F.max("at"), F.count(F.lit(1))).first()
+        if not last[1]:
+            break
+        whole = last[1] < many or unit == "all"
+        end = F.lit(True) if whole else at <= F.struct(*[F.lit(x).cast(rest.schema[f].dataType).alias(f) for f, x in last[0].asDict().items()])
+        ordered = rest.where(end).coalesce(1).sortWithinPartitions("doc_ord", "pos")
+        new = written(ordered.mapInPandas(_fold(unit, tau), ddl), "joined")
+        done = new if done is None else done.unionByName(new)
+        if whole:
+            break
+        rest, many = rest.where(~end), 2 * many
+        against = new.select("relation", F.monotonically_increasing_id().alias("ord"), F.col("vector").alias("embedding"))
+    return done if done is not None else pairs.select(columns).limit(0)
 
 
 def enriched(triples: DataFrame, schema: DataFrame, embed: Callable[[DataFrame, str], DataFrame], tau: float, unit: str = "document", k: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -133,10 +179,7 @@ def enriched(triples: DataFrame, schema: DataFrame, embed: Callable[[DataFrame,
 
     # of each definition the steps at which its best relation changed: a relation counts if none that was there before it is as good
     seen_by = schema if unit == "all" else grown
-    scored = nearest(vectors, ["definition"], "vector", seen_by.select("ord", "embedding"), 2**31 - 1, least=tau)
-    best_so_far = Window.partitionBy("definition").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    steps = scored.withColumn("_before", F.max("score").over(best_so_far)).where(F.col("_before").isNull() | (F.col("score") > F.col("_before")))
-    steps = steps.join(small(grown.select("ord", F.col("relation").alias("near"), F.when(F.col("doc_ord").isNotNull(), at).alias("from"))), "ord")
+    steps = rising(vectors, ["definition"], "vector", seen_by.select("ord", "embedding"), tau).join(small(grown.select("ord", F.col("relation").alias("near"), F.when(F.col("doc_ord").isNotNull(), at).alias("from"))), "ord")
     steps = steps.groupBy("definition").agg(F.array_sort(F.collect_list(F.struct("score", "near", "from"))).alias("steps"))
     out = marked.join(steps, "definition", "left")
     seen = F.filter("steps", lambda x: x["from"].isNull() | (x["from"] < F.col("_at")))

@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 from tripleloom.functions.parsers import literal
 from tripleloom.functions.text import strip
 from tripleloom.operators.schema import last_wins
-from tripleloom.storage import small
 
 
 def _is_object(text: str | None) -> bool:
@@ -34,14 +33,17 @@ def is_json_object(texts: pd.Series) -> pd.Series:
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(doc_ord, line): the lines of a text file or folder, numbered from 0 in the order of file names and lines.
 
-    Lines are counted for each split of a file first; a line's number is the count of all splits before its own, and its place in it. Nothing
-    but the counts of splits is moved.
+    Lines are counted for each split of a file first; a line's number is the count of all splits before its own, and its place in it. Only the
+    counts of splits are moved: packed in one array for each file, however many they are, they go to where the lines lie.
     """
     lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row"))
     splits = lines.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
-    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).select("_file", "_start", "_before")
-    return lines.join(small(offsets), ["_file", "_start"]).select((F.col("_before") + F.col("_row")).alias("doc_ord"), "line")
+    inside = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    placed = splits.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0)) - F.col("_first"))
+    by_file = placed.groupBy("_file").agg(F.sum("_n").alias("_all"), F.map_from_entries(F.collect_list(F.struct("_start", "_in"))).alias("_off"))
+    files = by_file.withColumn("_before", F.coalesce(F.sum("_all").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    offsets = F.broadcast(files.select("_file", "_before", "_off"))  # two numbers for each split
+    return lines.join(offsets, "_file").select((F.col("_before") + F.try_element_at("_off", F.col("_start")) + F.col("_row")).alias("doc_ord"), "line")
 
 
 def sniff(spark: SparkSession, path: str) -> str:
