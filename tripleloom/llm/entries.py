@@ -26,6 +26,9 @@ from pyspark.sql import types as T
 from tripleloom.functions.text import core, whole_triplet
 from tripleloom.storage import even_join, merge_join, small, written
 
+#: Strings whose neighbourhoods a task makes.
+PROBES = 4000
+
 _RUN = re.compile(r"[^\W_]+")
 _INVISIBLE = dict.fromkeys([0x00AD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
 
@@ -109,7 +112,8 @@ def repaired(probes: DataFrame, targets: DataFrame, o: Options) -> DataFrame:
     """
     left = lambda c, v: F.length(c) - F.length(v)
     near = targets.select("rel", "t", F.explode(_neighbourhood(F.col("t"), o)).alias("v"))
-    found = probes.select("rel", "s", F.explode(_neighbourhood(F.col("s"), o)).alias("v")).join(_kept(near, "near"), ["rel", "v"])
+    tasks = 1 + probes.count() // PROBES  # the neighbourhoods are a hundred times as many rows
+    found = probes.repartition(tasks).select("rel", "s", F.explode(_neighbourhood(F.col("s"), o)).alias("v")).join(_kept(near, "near"), ["rel", "v"])
     found = found.groupBy("rel", "s", "t").agg(F.min(F.greatest(left("s", "v"), left("t", "v"))).alias("taken"))
     found = found.where(F.col("taken") <= F.least(_edits(F.col("s"), o), _edits(F.col("t"), o)))
     lev = F.levenshtein("s", "t", 4)
