@@ -33,8 +33,9 @@ def test_hint_numbers_have_gaps(spark):
     merged = docs.select("doc_ord", hints.united(F.col("a"), F.col("b")).alias("relations"))
     assert rows(merged) == [(1, ["p2", "p1", "zz", "q"]), (2, [])]
     schema = spark.createDataFrame([("p1", "d1"), ("p2", "d2"), ("q", "dq")], "relation string, definition string")
-    examples = spark.createDataFrame([("q", 0, 'say "x"', ["a", "q", "b"])], "relation string, draw int, text string, triplet array<string>")
-    got = {r.doc_ord: r.relation_hint for r in hints.relation_hints(merged, schema, examples).collect()}
+    examples = groups.numbered_examples(spark.createDataFrame([("q", 9, 0, ["a", "q", "b"])], "relation string, doc_ord bigint, pos int, triplet array<string>"))
+    texts = spark.createDataFrame([(9, 'say "x"')], "doc_ord bigint, text string")
+    got = {r.doc_ord: r.relation_hint for r in hints.relation_hints(merged, schema, examples, texts).collect()}
     assert got == {1: "1. p2: d2\n2. p1: d1\n4. q: dq\nFor example, ['a', 'q', 'b'] can be extracted from \"say \"x\"\"\n", 2: ""}
 
 
@@ -51,8 +52,19 @@ def test_one_malformed_triple_voids_guarded_sets(spark):
 
 def test_example_draws_repeat(spark):
     t = spark.createDataFrame([(i, 0, "a", "r", str(i), f"t{i}") for i in range(50)], TRIPLE + ", text string")
-    one, two = (rows(groups.drawn_examples(groups.examples_of(t.repartition(n)), 7)) for n in (1, 5))
-    assert one == two and len(one) == 8 and len({r[2] for r in one}) > 3
+    wanted = spark.createDataFrame([(d, r) for d in range(200) for r in ("r", "none")], "doc_ord bigint, relation string")
+    one, two = (rows(groups.drawn_examples(wanted, groups.numbered_examples(groups.examples_of(t.repartition(n)), 8), 7)) for n in (1, 5))
+    assert one == two and len(one) == 200 and len({r[2] for r in one}) > 40
+
+
+@pytest.mark.parametrize("few", [0, 64])
+def test_examples_are_numbered_without_gaps(spark, few, monkeypatch):
+    monkeypatch.setattr(groups, "FEW", few)
+    t = spark.createDataFrame([(i, i % 3, "a", "r" if i % 4 else "q", str(i)) for i in range(40)] + [(50, 0, "a", None, "b")], TRIPLE)
+    numbered = groups.numbered_examples(groups.examples_of(t), 3)
+    assert {(r.relation, r.number, r.many) for r in numbered.collect()} == {("r", i, 30) for i in range(30)} | {("q", i, 10) for i in range(10)}
+    drawn = groups.drawn_examples(spark.createDataFrame([(d, "q") for d in range(100)], "doc_ord bigint, relation string"), numbered, 7).collect()
+    assert len(drawn) == 100 and {r.source for r in drawn} == set(range(0, 40, 4)) and all(r.triplet[2] == str(r.source) for r in drawn)
 
 
 def write(path, text):

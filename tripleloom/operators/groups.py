@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripleloom.storage import merge_join, small
+
+#: Examples of a relation that may be sent to all tasks.
+FEW = 64
+
 
 def long_triples(df: DataFrame, triples: str = "triples", keys: tuple[str, ...] = ("doc_ord",)) -> DataFrame:
     """Nested triples as rows (keys, pos, s, p, o), pos from 0; a null triple keeps its row with null parts, missing parts are null."""
@@ -55,11 +60,12 @@ def results(documents: DataFrame, triples: DataFrame) -> DataFrame:
 
 
 def examples_of(triples: DataFrame) -> DataFrame:
-    """(relation, doc_ord, pos, text, triplet): the usage examples of each relation over the whole corpus, kept long so that no relation is one group.
+    """(relation, doc_ord, pos, triplet, text): the usage examples of each relation over the whole corpus, kept long so that no relation is one group.
 
-    triples has ``text`` too, the text of its document.
+    triples may have ``text`` too, the text of its document.
     """
-    return triples.where("p IS NOT NULL").select(F.col("p").alias("relation"), "doc_ord", "pos", "text", F.array("s", "p", "o").alias("triplet"))
+    text = [F.col("text")] if "text" in triples.columns else []
+    return triples.where("p IS NOT NULL").select(F.col("p").alias("relation"), "doc_ord", "pos", F.array("s", "p", "o").alias("triplet"), *text)
 
 
 def first_examples(examples: DataFrame) -> DataFrame:
@@ -67,12 +73,32 @@ def first_examples(examples: DataFrame) -> DataFrame:
     return examples.groupBy("relation").agg(F.min_by(F.struct("doc_ord", "pos", "text", "triplet"), F.struct("doc_ord", "pos")).alias("e")).select("relation", "e.*")
 
 
-def drawn_examples(examples: DataFrame, seed: int, draws: int = 8) -> DataFrame:
-    """(relation, draw, text, triplet): ``draws`` examples for each relation, picked by a hash of the seed; a document uses draw hash(doc_ord) mod draws.
+def numbered_examples(examples: DataFrame, blocks: int = 1024) -> DataFrame:
+    """(relation, number, many, doc_ord, pos, triplet): the examples of each relation numbered from 0, and how many it has.
+
+    Numbers go by (doc_ord mod blocks, doc_ord, pos); a block is numbered by itself and shifted by the sizes of those before it, so that no
+    relation is one group.
+    """
+    placed = examples.select("relation", "doc_ord", "pos", "triplet", F.pmod("doc_ord", F.lit(blocks)).alias("_b"))
+    counts = placed.groupBy("relation", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy("relation")
+    offsets = counts.select("relation", "_b", F.coalesce(F.sum("_n").over(whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"), F.sum("_n").over(whole).alias("many"))
+    inside = F.row_number().over(Window.partitionBy("relation", "_b").orderBy("doc_ord", "pos"))
+    rows = merge_join(placed.withColumn("_in", inside), offsets, ["relation", "_b"])
+    return rows.select("relation", (F.col("_off") + F.col("_in") - 1).alias("number"), "many", "doc_ord", "pos", "triplet")
+
+
+def drawn_examples(wanted: DataFrame, numbered: DataFrame, seed: int) -> DataFrame:
+    """(doc_ord, relation, source, pos, triplet): for each wanted (doc_ord, relation), both not null, one of all examples of the relation.
 
-    Stands for a random pick anew for each document, made repeatable, with one pass of partial aggregates.
+    The draw is made by a hash of the seed, the document and the relation, so it is another for each document and the same in each run. source
+    and pos name the example; relations without examples give no rows.
     """
-    picks = [F.min_by(F.struct("text", "triplet"), F.xxhash64(F.lit(seed + i), "doc_ord", "pos")).alias(f"d{i}") for i in range(draws)]
-    one = examples.groupBy("relation").agg(*picks)
-    rows = F.array(*[F.struct(F.lit(i).alias("draw"), F.col(f"d{i}.text").alias("text"), F.col(f"d{i}.triplet").alias("triplet")) for i in range(draws)])
-    return one.select("relation", F.inline(rows))
+    many = small(numbered.groupBy("relation").agg(F.max("many").alias("many")))
+    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_ord"), F.col("relation"))), 1, 15), 16, 10).cast("bigint")
+    asked = wanted.select("doc_ord", "relation").distinct().join(many, "relation").withColumn("number", F.pmod(draw, F.col("many")))
+    examples = numbered.select("relation", "number", "many", F.col("doc_ord").alias("source"), "pos", "triplet")
+    few = F.col("many") <= FEW  # many documents share one of few examples
+    some = asked.where(few).drop("many").join(small(examples.where(few).drop("many")), ["relation", "number"])
+    rest = merge_join(asked.where(~few).drop("many"), examples.where(~few).drop("many"), ["relation", "number"])
+    return some.unionByName(rest).select("doc_ord", "relation", "source", "pos", "triplet")

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripleloom.functions.similarity import nearest
+from tripleloom.operators import groups
 from tripleloom.operators.prompts import hint_line
-from tripleloom.storage import small
+from tripleloom.storage import merge_join, small
 
 
 def united(previous: Column, retrieved: Column, k: int = 10) -> Column:
@@ -23,19 +24,21 @@ def retrieved(documents: DataFrame, vector: str, schema: DataFrame, k: int = 10,
     return top.groupBy("doc_ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "relation"))), lambda x: x["relation"]).alias("retrieved"))
 
 
-def relation_hints(relations: DataFrame, schema: DataFrame, examples: DataFrame | None = None, draws: int = 1, seed: int = 7) -> DataFrame:
+def relation_hints(relations: DataFrame, schema: DataFrame, examples: DataFrame | None = None, texts: DataFrame | None = None, seed: int = 7) -> DataFrame:
     """(doc_ord, relation_hint): one text for each document from its array ``relations``.
 
     Relations are numbered by their place in the array before those that are not in the vocabulary are left out, so numbers may have gaps. With
-    ``examples`` (relation, draw, text, triplet) each line names one, by a hash of the document. A document without relations has an empty text.
+    numbered ``examples`` and the ``texts`` (doc_ord, text) they are from, each line names one, drawn for this document and relation. Texts are
+    joined last, by the examples that were drawn. A document without relations has an empty text.
     """
     rows = relations.select("doc_ord", F.posexplode("relations").alias("at", "relation")).join(small(schema.select("relation", "definition")), "relation")
-    if examples is None:
-        lines = rows.select("doc_ord", "at", hint_line(F.col("at") + 1, F.col("relation"), F.col("definition")).alias("line"))
-    else:
-        draw = F.pmod(F.xxhash64(F.lit(seed), "doc_ord"), F.lit(draws)).cast("int") if draws > 1 else F.lit(0)
-        rows = rows.withColumn("draw", draw).join(small(examples.select("relation", "draw", "text", "triplet")), ["relation", "draw"], "left")
-        lines = rows.select("doc_ord", "at", hint_line(F.col("at") + 1, F.col("relation"), F.col("definition"), F.col("text"), F.col("triplet")).alias("line"))
+    line = hint_line(F.col("at") + 1, F.col("relation"), F.col("definition"))
+    if examples is not None:
+        drawn = groups.drawn_examples(rows.select("doc_ord", "relation"), examples, seed)
+        sources = merge_join(drawn, texts.select(F.col("doc_ord").alias("source"), "text"), "source", "left").select("doc_ord", "relation", "text", "triplet")
+        rows = merge_join(rows, sources, ["doc_ord", "relation"], "left")
+        line = hint_line(F.col("at") + 1, F.col("relation"), F.col("definition"), F.col("text"), F.col("triplet"))
+    lines = rows.select("doc_ord", "at", line.alias("line"))
     text = lines.groupBy("doc_ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "").alias("relation_hint"))
     return relations.select("doc_ord").join(text, "doc_ord", "left").select("doc_ord", F.coalesce("relation_hint", F.lit("")).alias("relation_hint"))
 

@@ -143,8 +143,8 @@ def construct_hints(documents: DataFrame, before: Pass, schema: DataFrame, cfg:
 
     near = hints.retrieved(models.embed(documents.select("doc_ord", "text"), "text"), "vector", schema, cfg.relation_top_k)
     joined = merged.join(near, "doc_ord", "left").select("doc_ord", "entity_hint", hints.united(F.col("relations"), F.col("retrieved"), cfg.relation_top_k).alias("relations"))
-    examples = groups.drawn_examples(groups.examples_of(kept.join(documents.select("doc_ord", "text"), "doc_ord")), seed=7)
-    text = hints.relation_hints(joined.select("doc_ord", "relations"), schema, examples, draws=8)
+    examples = groups.numbered_examples(groups.examples_of(kept))
+    text = hints.relation_hints(joined.select("doc_ord", "relations"), schema, examples, documents)
     return written(joined.select("doc_ord", "entity_hint").join(text, "doc_ord"), "hints")
 
 

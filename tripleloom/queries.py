@@ -66,7 +66,8 @@ def _kg(spark: SparkSession, folder: str) -> DataFrame:
 def _embed(spark: SparkSession, folder: str) -> Callable[[DataFrame, str], DataFrame]:
     """Vectors of definitions, looked up in embeddings."""
     vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
-    return providers.looked_up(vectors, lambda d: F.pmod(F.length(d) * 31 + F.ascii(F.substring(d, 20, 1)) * 7, F.lit(500)).cast("bigint"))
+    many = vectors.count()
+    return providers.looked_up(vectors, lambda d: F.pmod(F.length(d) * 31 + F.ascii(F.substring(d, 20, 1)) * 7, F.lit(many)).cast("bigint"))
 
 
 _SCH = """sch AS (SELECT first AS ord, relation, definition, origin, embedding FROM (SELECT *, min(ord) OVER (PARTITION BY relation) AS first,
@@ -77,7 +78,8 @@ _VECTORS = "q AS (SELECT vec_id AS key, embedding AS v FROM embeddings)"
 _TOP = f"WITH {_SCH}, {_VECTORS}, {_RANKED}"
 _EX = "ex AS (SELECT example_id AS doc_ord, triplet[1] AS s, triplet[2] AS p, triplet[3] AS o FROM relation_examples WHERE len(triplet) = 3)"
 _DEF = "def AS (SELECT *, CASE WHEN length(p) % 2 = 0 THEN 'The subject entity ' || p || ' the object entity.' END AS definition FROM ex)"
-_BEST = f"""q AS (SELECT DISTINCT d.definition AS key, e.embedding AS v FROM def d JOIN embeddings e ON e.vec_id = (length(d.definition) * 31 + ascii(substr(d.definition, 20, 1)) * 7) % 500
+_KEY = "(length({0}) * 31 + ascii(substr({0}, 20, 1)) * 7) % (SELECT count(*) FROM embeddings)"
+_BEST = f"""q AS (SELECT DISTINCT d.definition AS key, e.embedding AS v FROM def d JOIN embeddings e ON e.vec_id = {_KEY.format("d.definition")}
   WHERE d.p NOT IN (SELECT relation FROM sch)), {_RANKED}, best AS (SELECT key, relation, score FROM ranked WHERE rank = 1)"""
 _KG = "kg AS (SELECT doc_ord, i - 1 AS pos, triplets[i][1] AS s, triplets[i][2] AS p, triplets[i][3] AS o FROM (SELECT doc_ord, triplets, unnest(range(1, len(triplets) + 1)) AS i FROM canon_kg))"
 _EDGE = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]+"
@@ -225,13 +227,37 @@ def enriched_schema_all(spark: SparkSession, folder: str) -> DataFrame:
     return _enriched(spark, folder, "all")[1].drop("embedding")
 
 
-@query()
+def _growing(ctes: str) -> str:
+    """SQL for growth from document to document: ``ctes`` end in one named t (doc_ord, pos, p, definition); gives marked (with path), best and voc.
+
+    The vocabulary's history is folded over first appearances, one a step; joined holds the places of those that joined.
+    """
+    return f"""WITH RECURSIVE {_SCH}, {ctes},
+firsts AS (SELECT p AS relation, definition, min({{'d': doc_ord, 'p': pos}}) AS at FROM t WHERE p IS NOT NULL AND p NOT IN (SELECT relation FROM sch) GROUP BY p, definition),
+vec AS (SELECT f.relation, f.definition, f.at.d AS doc_ord, row_number() OVER (ORDER BY f.at) AS n, e.embedding::DOUBLE[] AS v FROM firsts f LEFT JOIN embeddings e ON e.vec_id = {_KEY.format("f.definition")}),
+base AS (SELECT n, max(round(list_inner_product(v, s.embedding::DOUBLE[]), 6)) AS top FROM vec, sch s WHERE v IS NOT NULL AND s.embedding IS NOT NULL GROUP BY n),
+near AS (SELECT a.n, list(b.n) AS js FROM vec a, vec b WHERE b.doc_ord < a.doc_ord AND a.v IS NOT NULL AND b.v IS NOT NULL AND round(list_inner_product(a.v, b.v), 6) >= {TAU} GROUP BY a.n),
+steps AS (SELECT n, relation, coalesce(top >= {TAU}, false) AS taken, coalesce(js, []) AS js, list(relation) OVER (ORDER BY n) AS names FROM vec LEFT JOIN base USING (n) LEFT JOIN near USING (n)),
+grow AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS joined UNION ALL
+  SELECT s.n, CASE WHEN s.taken OR list_has_any(s.js, joined) OR list_contains(list_transform(joined, lambda j: names[j]), s.relation) THEN joined ELSE list_append(joined, s.n) END FROM grow g JOIN steps s ON s.n = g.n + 1),
+new AS (SELECT *, row_number() OVER (ORDER BY n) AS k FROM vec WHERE n IN (SELECT unnest(joined) FROM (SELECT joined FROM grow ORDER BY n DESC LIMIT 1))),
+voc AS (SELECT ord, relation, embedding::DOUBLE[] AS v, NULL::BIGINT AS since FROM sch UNION ALL SELECT (SELECT max(ord) FROM sch) + k, relation, v, doc_ord FROM new),
+marked AS (SELECT t.*, CASE WHEN x.relation IS NOT NULL AND coalesce(x.since < t.doc_ord, true) THEN 'exact' WHEN definition IS NULL OR p IS NULL THEN 'nodef' ELSE 'verify' END AS path FROM t LEFT JOIN voc x ON x.relation = t.p),
+scores AS (SELECT q.definition, c.relation, c.ord, c.since, round(list_inner_product(q.v, c.v), 6) + 0.0 AS score FROM (SELECT DISTINCT definition, v FROM vec WHERE v IS NOT NULL) q, voc c WHERE c.v IS NOT NULL AND round(list_inner_product(q.v, c.v), 6) >= {TAU}),
+ranked AS (SELECT m.doc_ord, m.pos, c.relation, c.score, row_number() OVER (PARTITION BY m.doc_ord, m.pos ORDER BY score DESC, ord) AS n FROM marked m JOIN scores c ON c.definition = m.definition AND coalesce(c.since < m.doc_ord, true) WHERE path = 'verify'),
+best AS (SELECT doc_ord, pos, relation, score FROM ranked WHERE n = 1)"""
+
+
+_EX_GROWN = _growing(f"{_EX}, {_DEF}, t AS (SELECT doc_ord, 0 AS pos, p, definition FROM def)") + " SELECT m.doc_ord, m.pos, path, CASE WHEN path = 'exact' THEN p ELSE coalesce(b.relation, p) END AS canon, b.score FROM marked m LEFT JOIN best b USING (doc_ord, pos)"
+
+
+@query(_EX_GROWN)
 def canonicalize_enrich_doc(spark: SparkSession, folder: str) -> DataFrame:
     """Triples brought to a vocabulary that grows from document to document."""
     return _enriched(spark, folder, "document")[0].select("doc_ord", "pos", "path", "canon", "score")
 
 
-@query()
+@query(_EX_GROWN)  # each example is a document of one triple
 def canonicalize_enrich_triple(spark: SparkSession, folder: str) -> DataFrame:
     """Triples brought to a vocabulary that grows from triple to triple."""
     return _enriched(spark, folder, "triple")[0].select("doc_ord", "pos", "path", "canon", "score")
@@ -357,12 +383,20 @@ def relation_example(spark: SparkSession, folder: str) -> DataFrame:
     return groups.first_examples(groups.examples_of(t)).select("relation", "doc_ord", "text")
 
 
-@query()
+_DRAWN = f"""numbered AS (SELECT p AS relation, doc_ord AS source, s, o, row_number() OVER (PARTITION BY p ORDER BY doc_ord % 1024, doc_ord) - 1 AS number, count(*) OVER (PARTITION BY p) AS many FROM ex WHERE p IS NOT NULL),
+many AS (SELECT relation, max(many) AS many FROM numbered GROUP BY relation),
+drawn AS (SELECT w.doc_ord, w.relation, x.source, x.s, x.o FROM (SELECT doc_ord, relation, ('0x' || md5('7|' || doc_ord || '|' || relation)[1:15])::BIGINT % many AS number FROM wanted JOIN many USING (relation)) w JOIN numbered x USING (relation, number))"""
+
+
+def _numbered(spark: SparkSession, folder: str) -> DataFrame:
+    return groups.numbered_examples(groups.examples_of(_examples(spark, folder)))
+
+
+@query(f"WITH {_EX}, {_KG}, wanted AS (SELECT DISTINCT doc_ord, p AS relation FROM kg WHERE p IS NOT NULL), {_DRAWN} SELECT doc_ord, relation, source FROM drawn")
 def relation_example_drawn(spark: SparkSession, folder: str) -> DataFrame:
-    """Examples of each relation drawn by a hash."""
-    texts = table(spark, folder, "relation_examples").where(F.size("triplet") == 3)
-    t = texts.select(F.col("example_id").alias("doc_ord"), F.lit(0).alias("pos"), F.col("triplet")[0].alias("s"), F.col("triplet")[1].alias("p"), F.col("triplet")[2].alias("o"), "text")
-    return groups.drawn_examples(groups.examples_of(t), 7).select("relation", "draw", "text")
+    """For each document and each of its relations an example, drawn anew from all examples of the relation."""
+    wanted = _kg(spark, folder).where("p IS NOT NULL").select("doc_ord", F.col("p").alias("relation"))
+    return groups.drawn_examples(wanted, _numbered(spark, folder), 7).select("doc_ord", "relation", "source")
 
 
 # Hints.
@@ -372,13 +406,13 @@ def _hinted(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_ord, relations): what each document had, then what its vector is near to."""
     had = groups.relations_of(_kg(spark, folder))
     vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("_v"), "embedding")
-    rows = had.withColumn("_v", F.pmod(F.col("doc_ord"), F.lit(500))).join(vectors, "_v", "left")
+    rows = had.withColumn("_v", F.pmod(F.col("doc_ord"), F.lit(vectors.count()))).join(vectors, "_v", "left")
     near = hints.retrieved(rows.select("doc_ord", "embedding"), "embedding", _schema(spark, folder))
     return had.join(near, "doc_ord", "left").select("doc_ord", hints.united(F.col("relations"), F.col("retrieved")).alias("relations"))
 
 
 _HINTED = f"""WITH {_SCH}, {_KG}, had AS (SELECT doc_ord, coalesce(list_sort(list_distinct(list(p))), []) AS r FROM kg GROUP BY doc_ord),
-q AS (SELECT doc_ord AS key, embedding AS v FROM had LEFT JOIN embeddings ON vec_id = doc_ord % 500), {_RANKED},
+q AS (SELECT doc_ord AS key, embedding AS v FROM had LEFT JOIN embeddings ON vec_id = doc_ord % (SELECT count(*) FROM embeddings)), {_RANKED},
 near AS (SELECT key, list(relation ORDER BY rank) AS n FROM ranked WHERE rank <= 10 GROUP BY key),
 hinted AS (SELECT doc_ord, list_concat(r, list_filter(coalesce(n, []), lambda x: NOT list_contains(r, x))[:10]) AS relations FROM had LEFT JOIN near ON key = doc_ord)"""
 
@@ -398,6 +432,20 @@ def relation_hint_text(spark: SparkSession, folder: str) -> DataFrame:
     return hints.relation_hints(_hinted(spark, folder), _schema(spark, folder))
 
 
+@query(
+    f"{_HINTED}, l AS (SELECT doc_ord, i, relations[i] AS relation FROM (SELECT doc_ord, relations, unnest(range(1, len(relations) + 1)) AS i FROM hinted)), "
+    f"{_EX}, wanted AS (SELECT doc_ord, relation FROM l JOIN sch USING (relation)), {_DRAWN}, "
+    f"lines AS (SELECT l.doc_ord, i, i || '. ' || relation || ': ' || coalesce(definition, '') || chr(10) || coalesce('For example, ' || {_listed_sql('[d.s, relation, d.o]')} || ' can be extracted from \"' || coalesce(e.text, '') || '\"' || chr(10), '') AS line "
+    "FROM l JOIN sch USING (relation) LEFT JOIN drawn d USING (doc_ord, relation) LEFT JOIN relation_examples e ON e.example_id = d.source) "
+    "SELECT h.doc_ord, md5(coalesce(string_agg(line, '' ORDER BY i), '')) AS hint_md5 FROM hinted h LEFT JOIN lines USING (doc_ord) GROUP BY h.doc_ord"
+)
+def relation_hint_examples(spark: SparkSession, folder: str) -> DataFrame:
+    """The text of each document's relation hint with an example for each relation, as a hash."""
+    texts = table(spark, folder, "relation_examples").select(F.col("example_id").alias("doc_ord"), "text")
+    rows = hints.relation_hints(_hinted(spark, folder), _schema(spark, folder), _numbered(spark, folder), texts, 7)
+    return rows.select("doc_ord", F.md5("relation_hint").alias("hint_md5"))
+
+
 @query(f"WITH {_KG}, e AS (SELECT doc_ord, list_distinct(list(o)) AS o, list_distinct(list(s)) AS s FROM kg WHERE s IS NOT NULL GROUP BY doc_ord) SELECT doc_ord, array_to_string(list_sort(list_distinct(list_concat(o, s))), '|') AS entity_hint FROM e")
 def entity_merge(spark: SparkSession, folder: str) -> DataFrame:
     """Two lists of entities as one."""
