@@ -528,34 +528,57 @@ def jsonl_rejects(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _run(spark: SparkSession, folder: str, **options) -> list[pipeline.Pass]:
-    """A run over the result records written out as texts; the extracting model repeats the text of its prompt."""
+    """A run over the result records written out as texts; the extracting model repeats the text of its prompt, vectors are looked up."""
     docs = table(spark, folder, "canon_kg").select("doc_ord", "iid", listed_lists(F.col("triplets")).alias("text"))
     echo = providers.Rules(lambda i, x: F.regexp_extract(x, r"(?s)Text: (.*?)(\nEntities: |$)", 1))
-    models = pipeline.Models(oie=echo, sd=providers.Rules(definitions_by_rule), ee=echo)
-    known = _schema(spark, folder).drop("embedding")
-    return pipeline.run(docs, known, Config(threshold=0.75, **options), models)
+    models = pipeline.Models(oie=echo, sd=providers.Rules(definitions_by_rule), ee=echo, embed=_embed(spark, folder))
+    return pipeline.run(docs, _schema(spark, folder), Config(threshold=TAU, **options), models)
 
 
 def _flat(results: DataFrame) -> DataFrame:
     return results.select("doc_ord", "iid", F.array_join(F.transform("triplets", lambda t: F.array_join(t, "|")), ";").alias("triplets"))
 
 
-@query()
+#: What an echoing model extracts, and the definitions that the rule gives: to each relation that its prompt shows between single quotes and that holds no colon.
+_RUN_T = rf"""{_KG}, ok AS (SELECT * FROM kg WHERE s NOT IN ('', '_') AND p NOT IN ('', '_') AND o NOT IN ('', '_')),
+t AS (SELECT doc_ord, row_number() OVER (PARTITION BY doc_ord ORDER BY pos) - 1 AS pos, s, p, o, CASE WHEN p = {_strip_sql("p")} AND NOT regexp_matches(p, '[:''\\\n\r\t]') AND p <> 'Answer' THEN 'The subject entity ' || p || ' the object entity.' END AS definition FROM ok)"""
+_RUN_Q = f"""q AS (SELECT DISTINCT t.definition AS key, e.embedding AS v FROM t JOIN embeddings e ON e.vec_id = {_KEY.format("t.definition")} WHERE t.p NOT IN (SELECT relation FROM sch)), {_RANKED}"""
+_RUN = f"""WITH {_SCH}, {_RUN_T}, {_RUN_Q}, res AS (SELECT t.*, CASE WHEN p IN (SELECT relation FROM sch) THEN p ELSE b.relation END AS canon FROM t LEFT JOIN ranked b ON b.key = t.definition AND b.rank = 1 AND b.score >= {TAU})"""
+_FLAT = """, j AS (SELECT doc_ord, string_agg(concat_ws('|', s, canon, o), ';' ORDER BY pos) AS ts FROM res WHERE canon IS NOT NULL GROUP BY doc_ord)
+SELECT doc_ord, coalesce(iid, doc_ord::VARCHAR) AS iid, coalesce(ts, '') AS triplets FROM canon_kg LEFT JOIN j USING (doc_ord)"""
+
+
+@query(_RUN + _FLAT)
 def pipeline_run(spark: SparkSession, folder: str) -> DataFrame:
     """The graph of one pass with a fixed vocabulary."""
     return _flat(_run(spark, folder)[-1].results)
 
 
-@query()
+@query(
+    _growing(_RUN_T) + f""", again AS (SELECT m.*, c.relation AS near, row_number() OVER (PARTITION BY m.doc_ord, m.pos ORDER BY c.score DESC, c.ord) AS n FROM marked m LEFT JOIN scores c ON c.definition = m.definition),
+res AS (SELECT doc_ord, pos, s, o, CASE WHEN p IN (SELECT relation FROM voc) THEN p ELSE coalesce(near, p) END AS canon FROM again WHERE n = 1)""" + _FLAT
+)
 def refine_two_pass(spark: SparkSession, folder: str) -> DataFrame:
-    """The graph of two passes with a vocabulary that grows."""
+    """The graph of two passes with a vocabulary that grows; the second begins with what the first left."""
     return _flat(_run(spark, folder, refinement_iterations=1, enrich_schema=True)[-1].results)
 
 
-@query()
+@query(
+    f"""{_RUN}, five AS (SELECT key, string_agg(relation || ':' || round(score * 1000000)::BIGINT, ',' ORDER BY rank) AS cs FROM ranked WHERE rank <= 5 GROUP BY key),
+each AS (SELECT doc_ord, string_agg(concat_ws('|', s, p, o), ';' ORDER BY pos) AS oie, string_agg(coalesce(cs, ''), ';' ORDER BY pos) AS candidates, string_agg(CASE WHEN canon IS NULL THEN 'None' ELSE concat_ws('|', s, canon, o) END, ';' ORDER BY pos) AS canonical
+  FROM res LEFT JOIN five ON five.key = res.definition AND p NOT IN (SELECT relation FROM sch) GROUP BY doc_ord),
+maps AS (SELECT doc_ord, string_agg(p || '=' || definition, ';' ORDER BY p) AS defined FROM (SELECT DISTINCT doc_ord, p, definition FROM res WHERE definition IS NOT NULL) GROUP BY doc_ord)
+SELECT doc_ord AS index, coalesce(iid, doc_ord::VARCHAR) AS item_id, coalesce('[' || array_to_string(list_transform(triplets, lambda t: CASE WHEN t IS NULL THEN 'None' ELSE {_listed_sql("t")} END), ', ') || ']', '') AS input_text, '' AS relation_hint, coalesce(oie, '') AS oie, coalesce(defined, '') AS schema_definition,
+  coalesce(candidates, '') AS canonicalization_candidates, coalesce(canonical, '') AS schema_canonicalizaiton FROM canon_kg LEFT JOIN each USING (doc_ord) LEFT JOIN maps USING (doc_ord)"""
+)
 def stage_trace(spark: SparkSession, folder: str) -> DataFrame:
-    """The trace of one pass."""
-    return _run(spark, folder)[-1].trace
+    """The trace of one pass, its nested fields as texts."""
+    joined = lambda c: F.array_join(F.transform(c, lambda t: F.coalesce(F.array_join(t, "|"), F.lit("None"))), ";")
+    five = F.transform("canonicalization_candidates", lambda x: F.array_join(F.transform(x, lambda c: F.concat(c["relation"], F.lit(":"), F.round(c["score"] * 1_000_000).cast("bigint").cast("string"))), ","))
+    defined = F.transform(F.array_sort(F.map_entries("schema_definition")), lambda x: F.concat(x["key"], F.lit("="), x["value"]))
+    return _run(spark, folder)[-1].trace.select(
+        "index", "item_id", "input_text", "relation_hint", joined("oie").alias("oie"), F.array_join(defined, ";").alias("schema_definition"), F.array_join(five, ";").alias("canonicalization_candidates"), joined("schema_canonicalizaiton").alias("schema_canonicalizaiton")
+    )
 
 
 @query("SELECT event_type, min(ts) AS first_at FROM events WHERE event_type IS NOT NULL GROUP BY event_type")
@@ -579,7 +602,10 @@ def windowed_first_seen(spark: SparkSession, folder: str) -> DataFrame:
     return enrich.first_seen(table(spark, folder, "events"), "event_type", "ts", window="1 day")
 
 
-@query()
+@query(
+    _growing(f"{_KG}, t AS (SELECT *, CASE WHEN length(p) % 2 = 0 THEN 'The subject entity ' || p || ' the object entity.' END AS definition FROM kg)")
+    + " SELECT m.doc_ord, m.pos, path, CASE WHEN path = 'exact' THEN p ELSE coalesce(b.relation, p) END AS canon FROM marked m LEFT JOIN best b USING (doc_ord, pos)"
+)
 def stream_enrich(spark: SparkSession, folder: str) -> DataFrame:
     """Triples of a stream brought to a vocabulary that grows with it."""
     source = table(spark, folder, "canon_kg").schema
