@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tripleloom.cli import definitions_by_rule
 from tripleloom.config import Config
 from tripleloom.functions import parsers
 from tripleloom.functions.similarity import nearest
-from tripleloom.functions.text import listed, listed_lists, strip
+from tripleloom.functions.text import listed, listed_lists
 from tripleloom.operators import canonicalize, groups, hints, prompts, providers, rejects, schema as vocabulary
 from tripleloom.plans import pipeline
-from tripleloom.sources import documents as sources
+from tripleloom.sources import documents as sources, sinks
 from tripleloom.storage import shared_path, table
 from tripleloom.streaming import enrich
 
@@ -487,14 +487,29 @@ def prompt_keys(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", providers.prompt_hash(F.lit("Be brief."), F.col("text")).alias("prompt_hash"))
 
 
-# Sources.
+# Sources: tables are written to files in the shared folder and read as a user's files are.
 
 
-@query(rf"SELECT doc_id, i - 1 AS line_no, {_strip_sql('ls[i]')} AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)")
+def _file(spark: SparkSession, rows: DataFrame, order: list[str], line: Column, name: str) -> str:
+    """The path of text files with a line for each row, in the order of some columns over files and lines."""
+    path = shared_path(spark, name)
+    rows.repartitionByRange(3, *order).sortWithinPartitions(*order).select(line.alias("value")).write.text(path)
+    return path
+
+
+_ONE_LINE = r"regexp_replace(coalesce({}, ''), '[\r\n]', ' ', 'g')"
+
+
+def _one_line(c: str) -> Column:
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"[\r\n]", " ")
+
+
+@query(f"SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_ord, (row_number() OVER (ORDER BY doc_id) - 1)::VARCHAR AS iid, {_strip_sql(_ONE_LINE.format('text'))} AS text FROM documents")
 def text_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """The lines of the documents, stripped, blank ones kept."""
-    rows = table(spark, folder, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return rows.select("doc_id", "line_no", strip(F.col("line")).alias("text"))
+    """The documents, a line each, read from plain text files: numbered over files, stripped, blank ones kept."""
+    rows = table(spark, folder, "documents")
+    path = _file(spark, rows, ["doc_id"], _one_line("text"), "texts")
+    return sources.read_documents(spark, path)[0]
 
 
 @query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -503,25 +518,94 @@ def jsonl_nested(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
 
 
-@query("SELECT 'events' AS name, count(*) AS n, count(*) FILTER (coalesce(json_type(TRY_CAST(props AS JSON)) = 'OBJECT', false)) AS objects FROM events UNION ALL SELECT 'documents', count(*), count(*) FILTER (coalesce(json_type(TRY_CAST(text AS JSON)) = 'OBJECT', false)) FROM documents")
+def _sniffed_sql(name: str, key: str, column: str) -> str:
+    return (
+        f"SELECT '{name}' AS name, count(*) AS n, count(*) FILTER (coalesce(json_type(TRY_CAST(x AS JSON)) = 'OBJECT', false)) AS objects, CASE WHEN json_type(TRY_CAST(arg_min(x, id) AS JSON)) = 'OBJECT' THEN 'jsonl' ELSE 'text' END AS kind "
+        f"FROM (SELECT {key} AS id, {_ONE_LINE.format(column)} AS x FROM {name})"
+    )
+
+
+@query(_sniffed_sql("events", "event_id", "props") + " UNION ALL " + _sniffed_sql("documents", "doc_id", "text"))
 def json_sniff(spark: SparkSession, folder: str) -> DataFrame:
-    """How many rows of two columns are JSON objects."""
-    count = lambda name, df, c: df.agg(F.count(F.lit(1)).alias("n"), F.sum(sources.is_json_object(F.col(c)).cast("bigint")).alias("objects")).select(F.lit(name).alias("name"), "n", "objects")
-    return count("events", table(spark, folder, "events"), "props").unionByName(count("documents", table(spark, folder, "documents"), "text"))
+    """What two files are taken for by their first line, and how many of their lines are JSON objects."""
+    parts = []
+    for name, key, column in (("events", "event_id", "props"), ("documents", "doc_id", "text")):
+        path = _file(spark, table(spark, folder, name), [key], _one_line(column), name)
+        counts = sources.numbered_lines(spark, path).agg(F.count(F.lit(1)).alias("n"), F.sum(sources.is_json_object(F.col("line")).cast("bigint")).alias("objects"))
+        parts.append(counts.select(F.lit(name).alias("name"), "n", "objects", F.lit(sources.sniff(spark, path)).alias("kind")))
+    return parts[0].unionByName(parts[1])
 
 
-@query()
+def _strict_sql(x: str, numbers: bool = True) -> str:
+    """SQL for JSON by the standard: DuckDB's JSON lets a trailing comma and, unless ``numbers``, NaN pass; what is left without the strings shows them."""
+    lax = r",\s*[\]}]" + (r"|[nN][aA][nN]|[iI][nN][fF]" if numbers else "")
+    return rf"""coalesce(json_valid({x}) AND NOT regexp_matches(regexp_replace({x}, '"(?:[^"\\]|\\.)*"', '""', 'g'), '{lax}'), false)"""
+
+
+def _delivered(spark: SparkSession, folder: str) -> str:
+    """A JSON lines file in all layouts: a first line, profile lines as delivered, documents with an id, and other objects."""
+    part = lambda kind, df, key, line: df.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), line.alias("line"))
+    rows = part(0, spark.range(1), "id", F.lit('{"id": "first", "text": "t"}'))
+    rows = rows.unionByName(part(1, table(spark, folder, "item_profile_lines"), "line_id", _one_line("line")))
+    rows = rows.unionByName(part(2, table(spark, folder, "documents"), "doc_id", F.to_json(F.struct(F.col("doc_id").alias("id"), "text"))))
+    rows = rows.unionByName(part(3, table(spark, folder, "events").where("props IS NOT NULL"), "event_id", _one_line("props")))
+    return _file(spark, rows, ["kind", "id"], F.col("line"), "delivered")
+
+
+_DELIVERED = rf"""WITH l AS (SELECT *, row_number() OVER (ORDER BY kind, id) - 1 AS doc_ord FROM (SELECT 0 AS kind, 0 AS id, NULL AS line, NULL AS text UNION ALL SELECT 1, line_id, {_ONE_LINE.format("line")}, NULL FROM item_profile_lines
+  UNION ALL SELECT 2, doc_id, NULL, text FROM documents UNION ALL SELECT 3, event_id, {_ONE_LINE.format("props")}, NULL FROM events WHERE props IS NOT NULL)),
+o AS (SELECT *, CASE WHEN {_strict_sql("line")} THEN TRY_CAST(line AS JSON) END AS doc, {_strict_sql("line", False)} AND json_type(TRY_CAST(line AS JSON)) = 'OBJECT' AS object FROM l),
+v AS (SELECT *, CASE WHEN json_type(doc) = 'OBJECT' AND len(json_keys(doc)) = len(list_distinct(json_keys(doc))) THEN doc END AS one FROM o),
+r AS (SELECT *, one ->> '$.iid' AS item, one ->> '$."business summary"' AS body FROM v),
+i AS (SELECT *, CASE WHEN {_strict_sql("body")} THEN TRY_CAST(body AS JSON) END AS part FROM r)"""
+
+
+@query(
+    f"""{_DELIVERED} SELECT doc_ord, 'first' AS iid, 't' AS text FROM i WHERE kind = 0
+UNION ALL SELECT doc_ord, CASE WHEN text IS NULL THEN doc_ord::VARCHAR ELSE id::VARCHAR END, coalesce(text, '{{"id":' || id || '}}') FROM i WHERE kind = 2
+UNION ALL SELECT doc_ord, CASE WHEN item IS NOT NULL AND body IS NOT NULL THEN item ELSE doc_ord::VARCHAR END,
+  CASE WHEN item IS NOT NULL AND body IS NOT NULL THEN CASE WHEN json_type(part) = 'OBJECT' AND len(json_keys(part)) = len(list_distinct(json_keys(part))) THEN coalesce(part ->> '$.summarization', '') ELSE '' END ELSE {_strip_sql("line")} END FROM i WHERE kind IN (1, 3) AND object"""
+)
 def jsonl_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """The lines of profile files as documents, whatever their layout."""
-    lines = table(spark, folder, "item_profile_lines").select(F.col("line_id").alias("doc_ord"), "line")
-    return sources.json_documents(lines)[0]
+    """Documents read from JSON lines, whatever the layout of each line."""
+    return sources.read_documents(spark, _delivered(spark, folder))[0]
 
 
-@query()
+@query(f"{_DELIVERED} SELECT doc_ord, line FROM i WHERE kind IN (1, 3) AND NOT coalesce(object, false)")
 def jsonl_rejects(spark: SparkSession, folder: str) -> DataFrame:
-    """The lines that are no JSON objects."""
-    lines = table(spark, folder, "item_profile_lines").select(F.col("line_id").alias("doc_ord"), "line")
-    return sources.json_documents(lines)[1]
+    """The lines of that file that are no JSON objects."""
+    return sources.read_documents(spark, _delivered(spark, folder))[1]
+
+
+@query("SELECT row_number() OVER (ORDER BY first) - 1 AS place, relation, definition FROM (SELECT min(ord) AS first, relation, arg_max({'d': nullif(definition, '')}, ord).d AS definition FROM relation_schema WHERE relation IS NOT NULL GROUP BY relation)")
+def schema_file(spark: SparkSession, folder: str) -> DataFrame:
+    """The vocabulary written as a CSV file of two columns and read again, each relation at its first place with its last definition."""
+    path = shared_path(spark, "schema")
+    table(spark, folder, "relation_schema").coalesce(1).sortWithinPartitions("ord").select("relation", F.expr("nullif(definition, '')").alias("definition")).write.option("escape", '"').csv(path)
+    found = sources.read_schema(spark, path)
+    return found.select((F.row_number().over(Window.orderBy("ord")) - 1).alias("place"), "relation", "definition")
+
+
+@query(f"WITH {_KG}, n AS (SELECT doc_ord, row_number() OVER (ORDER BY doc_ord) - 1 AS place FROM canon_kg) SELECT place, pos, s, p, o FROM kg JOIN n USING (doc_ord) WHERE p IS NOT NULL")
+def literal_results(spark: SparkSession, folder: str) -> DataFrame:
+    """The triples of earlier results, written a Python list for each line and read again."""
+    none = F.array(*[F.lit(None).cast("string")] * 3)
+    line = listed_lists(F.transform(F.coalesce("triplets", F.array().cast("array<array<string>>")), lambda t: F.coalesce(t, none)))
+    path = _file(spark, table(spark, folder, "canon_kg"), ["doc_ord"], line, "results")
+    found = sources.read_literal_results(spark, path)
+    return groups.long_triples(found.select(F.col("doc_ord").alias("place"), F.col("triplets").alias("triples")), keys=("place",)).where("p IS NOT NULL")
+
+
+@query(
+    f"WITH {_KG}, j AS (SELECT doc_ord, string_agg(concat_ws('|', s, p, o), ';' ORDER BY pos) AS t FROM kg WHERE p IS NOT NULL GROUP BY doc_ord) "
+    "SELECT row_number() OVER (ORDER BY doc_ord) - 1 AS place, coalesce(iid, doc_ord::VARCHAR) AS iid, coalesce(t, '') AS triplets FROM canon_kg LEFT JOIN j USING (doc_ord)"
+)
+def results_file(spark: SparkSession, folder: str) -> DataFrame:
+    """Result records written as JSON lines in the order of documents and read again."""
+    path = shared_path(spark, "records")
+    sinks.write_results(groups.results(table(spark, folder, "canon_kg"), _kg(spark, folder)), path)
+    rows = sources.numbered_lines(spark, path).select(F.col("doc_ord").alias("place"), F.from_json("line", "iid string, triplets array<array<string>>").alias("r"))
+    return rows.select("place", "r.iid", F.array_join(F.transform("r.triplets", lambda t: F.array_join(t, "|")), ";").alias("triplets"))
 
 
 # Whole runs.
@@ -617,11 +701,7 @@ def stream_enrich(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(target).select("doc_ord", "pos", "path", "canon")
 
 
-# Problem 4. In SQL: what is left of a text when its strings are taken out shows a trailing comma and NaN, which DuckDB's JSON lets pass.
-
-
-def _strict_sql(x: str) -> str:
-    return rf"""coalesce(json_valid({x}) AND NOT regexp_matches(regexp_replace({x}, '"(?:[^"\\]|\\.)*"', '""', 'g'), ',\s*[\]}}]|[nN][aA][nN]|[iI][nN][fF]'), false)"""
+# Problem 4.
 
 
 _LINES = rf"""WITH l AS (SELECT line_id, CASE WHEN {_strict_sql("line")} THEN TRY_CAST(line AS JSON) END AS doc FROM item_profile_lines),

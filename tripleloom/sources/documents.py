@@ -61,13 +61,14 @@ def json_documents(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((doc_ord, iid, text), (doc_ord, line)): documents from JSON lines, and the lines that are no JSON objects.
 
     Three layouts, told apart line by line: ``iid`` with ``business summary``, itself a JSON string whose ``summarization`` is the text (empty
-    if it has none); ``text`` with an optional ``id``; else the whole object as text. Ids that are missing are the line's number; ids of any
+    if it has none or is no JSON as a whole); ``text`` with an optional ``id``; else the whole object as text. Ids that are missing are the line's number; ids of any
     JSON type come out as strings.
     """
     v = F.try_parse_json(strip(F.col("line")))
-    rows = lines.select("doc_ord", "line", v.alias("v"), is_json_object(strip(F.col("line"))).alias("ok"))
+    body = F.try_variant_get(v, '$["business summary"]', "string")
+    rows = lines.select("doc_ord", "line", v.alias("v"), is_json_object(strip(F.col("line"))).alias("ok"), is_json_object(body).alias("whole"))
     get = lambda path: F.try_variant_get("v", path, "string")
-    summary = F.coalesce(F.try_variant_get(F.try_parse_json(get('$["business summary"]')), "$.summarization", "string"), F.lit(""))
+    summary = F.coalesce(F.when(F.col("whole"), F.try_variant_get(F.try_parse_json(get('$["business summary"]')), "$.summarization", "string")), F.lit(""))
     number = F.col("doc_ord").cast("string")
     review = get('$["business summary"]').isNotNull() & get("$.iid").isNotNull()
     plain = get("$.text").isNotNull()
