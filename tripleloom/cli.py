@@ -20,7 +20,7 @@ def model_named(spark: SparkSession, name: str, cfg: Config, rule) -> providers.
     """The model that a name in the options stands for.
 
     ``rules`` is the stage's own rule; ``replay:PATH`` reads recorded answers (prompt_hash, completion) from a Parquet table; a name that holds
-    "gpt" is a remote model, asked one prompt at a time for each task unless parallel requests are on. Others must be given as objects.
+    "gpt" is a remote model, asked one prompt at a time for each task unless parallel requests are on. Others run inside the workers.
     """
     if name == "rules":
         return providers.Rules(rule)
@@ -29,7 +29,7 @@ def model_named(spark: SparkSession, name: str, cfg: Config, rule) -> providers.
     if is_remote(name):
         tasks = spark.sparkContext.defaultParallelism
         return providers.Remote(providers.http_chat(os.environ.get("TRIPLELOOM_URL", URL), name), concurrency=100 if cfg.enable_parallel_requests else tasks, tasks=tasks)
-    raise ValueError(f"no model {name}: pass it to pipeline.run as an object")
+    return providers.local_named(name)
 
 
 def definitions_by_rule(instructions, text):
@@ -48,6 +48,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
     models = pipeline.Models(
         oie=model_named(spark, cfg.oie_llm, cfg, echo), sd=model_named(spark, cfg.sd_llm, cfg, definitions_by_rule), ee=model_named(spark, cfg.ee_llm, cfg, echo),
         sc=None if cfg.sc_llm == "rules" else model_named(spark, cfg.sc_llm, cfg, None), em=None if cfg.ee_llm == "rules" else model_named(spark, cfg.ee_llm, cfg, None),
+        embed=providers.embedder_named(spark, cfg.sc_embedder), retrieve=None if (cfg.sr_embedder, cfg.sr_adapter_path) == (cfg.sc_embedder, None) else providers.embedder_named(spark, cfg.sr_embedder, cfg.sr_adapter_path),
     )
     passes = pipeline.run(documents, schema, cfg, models, output=True)
     if not rejects.isEmpty():

@@ -13,7 +13,8 @@ class Config:
     Beyond them: ``batch_unit`` says what sees the vocabulary grow (triple, document, all), ``answer_parse`` how a verifier's letter is read
     (exact, first_char), ``strict_arity`` whether triples that do not have three parts are set apart, ``rectangle_guard`` whether one such
     triple voids the hints of its document, ``normalize_relations`` whether relations are stripped before a definition is looked up,
-    ``threshold`` the score from which the rule verifier accepts, ``top_k`` the candidates of a triple, ``relation_top_k`` those of a document.
+    ``threshold`` the score from which the rule verifier accepts, ``top_k`` the candidates of a triple, ``relation_top_k`` those of a document,
+    ``single_file`` whether results and trace are also written as one JSON array file each.
     """
 
     oie_llm: str = "rules"
@@ -54,6 +55,7 @@ class Config:
     threshold: float = 0.5
     top_k: int = 5
     relation_top_k: int = 10
+    single_file: bool = False
 
     def __post_init__(self):
         if self.batch_unit not in ("triple", "document", "all"):

@@ -6,6 +6,8 @@ folder before anything reads them: no lost executor makes them be asked again.
 
 from __future__ import annotations
 
+import importlib
+import importlib.util
 import json
 import os
 import threading
@@ -20,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -147,7 +149,9 @@ _LOADED: dict[str, object] = {}
 
 
 def loaded(name: str, load: Callable[[], object]) -> object:
-    """A model of this worker, loaded once; ``release`` frees it."""
+    """A model of this worker, loaded once. A worker holds one at a time: when a stage needs another, the one before is released."""
+    for other in [x for x in _LOADED if x != name]:
+        release(other)
     if name not in _LOADED:
         _LOADED[name] = load()
     return _LOADED[name]
@@ -182,6 +186,42 @@ class Local(Model):
         return keyed.join(answers, "prompt_hash", "left").drop("prompt_hash")
 
 
+def function_at(place: str):
+    """The function that ``module:name`` names."""
+    module, _, name = place.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
+def transformers_chat(name: str, max_new_tokens: int = 256) -> Callable[[], Callable[[str, str], str]]:
+    """A loader for Local: a causal language model, by name or path, that answers greedily; needs the package transformers on the workers."""
+
+    def load() -> Callable[[str, str], str]:
+        from transformers import AutoModelForCausalLM, AutoTokenizer
+
+        tokenizer, model = AutoTokenizer.from_pretrained(name), AutoModelForCausalLM.from_pretrained(name)
+
+        def answer(instructions: str, text: str) -> str:
+            said = [{"role": "system", "content": instructions}, {"role": "user", "content": text}]
+            plain = tokenizer.apply_chat_template(said, tokenize=False, add_generation_prompt=True) if tokenizer.chat_template else f"{instructions}\n\n{text}"
+            ids = tokenizer(plain, return_tensors="pt").input_ids
+            out = model.generate(ids, max_new_tokens=max_new_tokens, do_sample=False)
+            return tokenizer.decode(out[0][ids.shape[1] :], skip_special_tokens=True)
+
+        return answer
+
+    return load
+
+
+def local_named(name: str) -> Local:
+    """A local model by name: ``python:module:function`` calls that function (instructions, text); any other name is one of the package transformers."""
+    if name.startswith("python:"):
+        place = name.removeprefix("python:")
+        return Local(name, lambda: function_at(place))
+    if importlib.util.find_spec("transformers") is None:
+        raise ValueError(f"no model {name}: the package transformers is not installed")
+    return Local(name, transformers_chat(name))
+
+
 # Embedders: table with a text column -> the table with ``vector``.
 
 
@@ -213,3 +253,43 @@ def hashed(dims: int = 64, prompt: str = "") -> Callable[[DataFrame, str], DataF
 def looked_up(vectors: DataFrame, key: Callable[[Column], Column]) -> Callable[[DataFrame, str], DataFrame]:
     """An embedder that reads vectors (key, vector) computed before, by a key expression of the text."""
     return lambda df, column: df.withColumn("_key", key(F.col(column))).join(vectors.select(F.col("key").alias("_key"), "vector"), "_key", "left").drop("_key")
+
+
+def encoding(load: Callable[[], Callable[[list[str]], object]], name: str) -> Callable[[DataFrame, str], DataFrame]:
+    """An embedder that runs inside the workers: ``load()`` gives a function from a list of texts to their vectors, once for each worker; null gives null."""
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def run(texts: pd.Series) -> pd.Series:
+        kept = texts[texts.notna()]
+        vectors = loaded(name, load)(kept.to_list()) if len(kept) else []
+        return pd.Series([np.asarray(v, np.float32).tolist() for v in vectors], kept.index, object).reindex(texts.index).replace({np.nan: None})
+
+    return lambda df, column: df.withColumn("vector", run(F.col(column)))
+
+
+def embedder_named(spark: SparkSession, name: str, adapter: str | None = None, prompt: str = "") -> Callable[[DataFrame, str], DataFrame]:
+    """The embedder that a name stands for.
+
+    ``hash`` or ``hash:DIMS`` hashes words and letter triples; ``table:PATH`` looks texts up in a Parquet table (key, vector) by their SHA-256;
+    ``python:module:function`` calls a function from a list of texts to vectors; any other name is a sentence embedder of the package
+    sentence_transformers, with an ``adapter`` of its own where one is given. ``prompt`` is set before texts that are asked for.
+    """
+    if name.split(":")[0] == "hash":
+        return hashed(int(name.split(":")[1]) if ":" in name else 64, prompt)
+    if name.startswith("table:"):
+        return looked_up(spark.read.parquet(name.removeprefix("table:")), lambda text: F.sha2(text, 256))
+    if name.startswith("python:"):
+        place = name.removeprefix("python:")
+        return encoding(lambda: function_at(place), name)
+    if importlib.util.find_spec("sentence_transformers") is None:
+        raise ValueError(f"no embedder {name}: the package sentence_transformers is not installed")
+
+    def load():
+        from sentence_transformers import SentenceTransformer
+
+        model = SentenceTransformer(name)
+        if adapter:
+            model.load_adapter(adapter)
+        return lambda texts: model.encode([prompt + t for t in texts])
+
+    return encoding(load, f"{name} {adapter or ''}")

@@ -53,7 +53,10 @@ def few_shot(cfg: Config, stage: str) -> str:
 
 @dataclass
 class Models:
-    """The models of the stages; ``sc`` None verifies by the score alone, ``em`` None merges entities by rule, ``embed`` gives vectors of texts."""
+    """The models of the stages; ``sc`` None verifies by the score alone, ``em`` None merges entities by rule, ``embed`` gives vectors of texts.
+
+    ``retrieve`` gives the vectors by which relations are retrieved for a document, of its text and of definitions; None is ``embed`` again.
+    """
 
     oie: providers.Model
     sd: providers.Model
@@ -61,6 +64,7 @@ class Models:
     sc: providers.Model | None = None
     em: providers.Model | None = None
     embed: Callable = field(default_factory=providers.hashed)
+    retrieve: Callable | None = None
 
 
 @dataclass
@@ -141,7 +145,9 @@ def construct_hints(documents: DataFrame, before: Pass, schema: DataFrame, cfg:
         merged = models.em.complete(found.withColumns({"instructions": F.lit(template(cfg, "em_instructions")), "input": prompt})).withColumn("entity_hint", parsed_entities("completion"))
     merged = written(merged.select("doc_ord", "entity_hint", "relations"), "hints")
 
-    near = hints.retrieved(models.embed(documents.select("doc_ord", "text"), "text"), "vector", schema, cfg.relation_top_k)
+    retrieve = models.retrieve or models.embed
+    known = schema if models.retrieve is None else embedded(schema.drop("embedding"), retrieve)
+    near = hints.retrieved(retrieve(documents.select("doc_ord", "text"), "text"), "vector", known, cfg.relation_top_k)
     joined = merged.join(near, "doc_ord", "left").select("doc_ord", "entity_hint", hints.united(F.col("relations"), F.col("retrieved"), cfg.relation_top_k).alias("relations"))
     examples = groups.numbered_examples(groups.examples_of(kept))
     text = hints.relation_hints(joined.select("doc_ord", "relations"), schema, examples, documents)
@@ -159,7 +165,8 @@ def embedded(schema: DataFrame, embed: Callable) -> DataFrame:
 def run(documents: DataFrame, schema: DataFrame, cfg: Config, models: Models, output: bool = False) -> list[Pass]:
     """All passes over documents (doc_ord, iid, text), one more than ``cfg.refinement_iterations``; the last one's results are the graph.
 
-    With ``output`` each pass writes its results and trace under ``cfg.output_dir``, which must not be there yet. An empty vocabulary without
+    With ``output`` each pass writes its results and trace under ``cfg.output_dir``, which must not be there yet; with ``cfg.single_file`` also
+    as one JSON array file each, under iter0 and so on. An empty vocabulary without
     enrichment leaves no triple; with enrichment it is built from what is found. Empty documents give empty records.
     """
     spark = documents.sparkSession
@@ -181,4 +188,9 @@ def run(documents: DataFrame, schema: DataFrame, cfg: Config, models: Models, ou
         if output:
             sinks.write_results(results, f"{cfg.output_dir}/iter={i}/canon_kg")
             sinks.write_trace(trace, f"{cfg.output_dir}/iter={i}/result_at_each_stage")
+            if cfg.single_file:
+                folder = f"{cfg.output_dir}/iter{i}"
+                os.makedirs(folder)
+                sinks.export_array(spark, f"{cfg.output_dir}/iter={i}/canon_kg", f"{folder}/canon_kg.json")
+                sinks.export_array(spark, f"{cfg.output_dir}/iter={i}/result_at_each_stage", f"{folder}/result_at_each_stage.json", 4, True)
     return passes

@@ -1,4 +1,4 @@
-"""Writers of results and traces."""
+"""Writers of results and traces. The keys of a trace, the misspelt one included, are fixed values that its readers know."""
 
 from __future__ import annotations
 
@@ -32,15 +32,16 @@ def write_trace(trace: DataFrame, path: str) -> None:
 def export_array(spark: SparkSession, lines: str, file: str, indent: int = 2, ascii_only: bool = False) -> None:
     """One JSON array file from a folder of JSON lines, record by record in the folder's order; for results small enough for one file.
 
-    An ``iid`` that is a plain integer is written as a number.
+    An ``iid`` or ``item_id`` that is a plain integer is written as a number.
     """
     rows = spark.read.text(lines).toLocalIterator()
     with open(file, "x", encoding="utf-8") as out:
         out.write("[")
         for k, row in enumerate(rows):
             record = json.loads(row.value)
-            if str(record.get("iid", "")).isdecimal() and str(int(record["iid"])) == record["iid"]:
-                record["iid"] = int(record["iid"])
+            for key in ("iid", "item_id"):
+                if str(record.get(key) or "").isdecimal() and str(int(record[key])) == record[key]:
+                    record[key] = int(record[key])
             body = json.dumps(record, indent=indent, ensure_ascii=ascii_only)
             out.write((",\n" if k else "\n") + "\n".join(" " * indent + x for x in body.split("\n")))
         out.write("\n]\n")
