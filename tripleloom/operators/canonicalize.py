@@ -31,14 +31,14 @@ def threshold(tau: float) -> Verifier:
 
 def paths(triples: DataFrame, schema: DataFrame) -> DataFrame:
     """Triples (with ``p`` and ``definition``) with their ``path``. A null relation is ``nodef``."""
-    marked = triples.join(small(schema.select(F.col("relation").alias("p"), F.lit(True).alias("_known"))), "p", "left")
+    marked = triples.join(small(schema.select(F.col("relation").alias("p"), F.lit(True).alias("_known")), of=schema), "p", "left")
     return marked.withColumn("path", F.when(F.col("_known"), "exact").when(F.col("definition").isNull() | F.col("p").isNull(), "nodef").otherwise("verify")).drop("_known")
 
 
 def candidates(queries: DataFrame, keys: list[str], vector: str, schema: DataFrame, k: int = 5, strategy: str = "matrix") -> DataFrame:
     """(keys, candidates): the k nearest relations of each query, best first, as an array of (relation, definition, score)."""
     top = nearest(queries, keys, vector, schema.select("ord", "embedding"), k, strategy)
-    named = top.join(small(schema.select("ord", F.struct("relation", "definition").alias("_named"))), "ord")
+    named = top.join(small(schema.select("ord", F.struct("relation", "definition").alias("_named")), of=schema), "ord")
     gathered = named.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "_named.relation", "_named.definition", "score"))).alias("c"))
     return gathered.select(*keys, F.transform("c", lambda c: F.struct(c["relation"].alias("relation"), c["definition"].alias("definition"), c["score"].alias("score"))).alias("candidates"))
 
@@ -161,7 +161,7 @@ def enriched(triples: DataFrame, schema: DataFrame, embed: Callable[[DataFrame,
     """
     t = written(triples.select("doc_ord", "pos", "s", "p", "o", "definition"), "triples")
     firsts = t.where("p IS NOT NULL").groupBy(F.col("p").alias("relation"), "definition").agg(F.min(F.struct("doc_ord", "pos")).alias("at"))
-    firsts = firsts.select("relation", "definition", "at.doc_ord", "at.pos").join(small(schema.select("relation")), "relation", "left_anti")
+    firsts = firsts.select("relation", "definition", "at.doc_ord", "at.pos").join(small(schema.select("relation"), of=schema), "relation", "left_anti")
     vectors = embed(firsts.where("definition IS NOT NULL").select("definition").distinct(), "definition")
     pairs = written(firsts.join(vectors, "definition", "left"), "pairs")
     new = written(growth(pairs, schema, tau, unit), "growth")
@@ -173,13 +173,13 @@ def enriched(triples: DataFrame, schema: DataFrame, embed: Callable[[DataFrame,
     at = {"triple": F.struct("doc_ord", "pos"), "document": F.struct("doc_ord", F.lit(0).alias("pos")), "all": F.struct(F.lit(1).cast("bigint").alias("doc_ord"), F.lit(0).alias("pos"))}[unit]
     since = grown.select(F.col("relation").alias("p"), F.when(F.col("doc_ord").isNull(), F.struct(F.lit(None).cast("bigint").alias("doc_ord"), F.lit(None).cast("int").alias("pos"))).otherwise(
         at if unit != "all" else F.struct(F.lit(2).cast("bigint").alias("doc_ord"), F.lit(0).alias("pos"))).alias("since"), F.lit(True).alias("_in"))
-    marked = t.withColumn("_at", at).join(small(since), "p", "left")
+    marked = t.withColumn("_at", at).join(small(since, of=grown), "p", "left")
     there = F.coalesce(F.col("_in"), F.lit(False)) & F.coalesce(F.col("since.doc_ord").isNull() | (F.col("since") < F.col("_at")), F.lit(False))
     marked = marked.withColumn("path", F.when(there, "exact").when(F.col("definition").isNull() | F.col("p").isNull(), "nodef").otherwise("verify")).drop("_in", "since")
 
     # of each definition the steps at which its best relation changed: a relation counts if none that was there before it is as good
     seen_by = schema if unit == "all" else grown
-    steps = rising(vectors, ["definition"], "vector", seen_by.select("ord", "embedding"), tau).join(small(grown.select("ord", F.col("relation").alias("near"), F.when(F.col("doc_ord").isNotNull(), at).alias("from"))), "ord")
+    steps = rising(vectors, ["definition"], "vector", seen_by.select("ord", "embedding"), tau).join(small(grown.select("ord", F.col("relation").alias("near"), F.when(F.col("doc_ord").isNotNull(), at).alias("from")), of=grown), "ord")
     steps = steps.groupBy("definition").agg(F.array_sort(F.collect_list(F.struct("score", "near", "from"))).alias("steps"))
     out = marked.join(steps, "definition", "left")
     seen = F.filter("steps", lambda x: x["from"].isNull() | (x["from"] < F.col("_at")))
@@ -254,7 +254,7 @@ def enriched_in_order(triples: DataFrame, schema: DataFrame, decide: Callable[[D
     rest = rows = written(triples.repartitionByRange("doc_ord").sortWithinPartitions("doc_ord", "pos"), "triples")
     width, last = 1, True
     while last:
-        ahead = rest.where("p IS NOT NULL").join(small(schema.select(F.col("relation").alias("p"))), "p", "left_anti")
+        ahead = rest.where("p IS NOT NULL").join(small(schema.select(F.col("relation").alias("p")), of=schema), "p", "left_anti")
         last = ahead.select(at.alias("at")).distinct().orderBy("at").limit(width).agg(F.max("at")).first()[0]
         part = written(decide(rest.where(at <= place(last)) if last else rest, schema), "batch")
         first = part.where("canon IS NULL AND p IS NOT NULL").agg(F.min(at)).first()[0]

@@ -20,7 +20,7 @@ def united(previous: Column, retrieved: Column, k: int = 10) -> Column:
 
 def retrieved(documents: DataFrame, vector: str, schema: DataFrame, k: int = 10, strategy: str = "matrix") -> DataFrame:
     """(doc_ord, retrieved): the k relations nearest to each document's vector, best first."""
-    top = nearest(documents, ["doc_ord"], vector, schema.select("ord", "embedding"), k, strategy).join(small(schema.select("ord", "relation")), "ord")
+    top = nearest(documents, ["doc_ord"], vector, schema.select("ord", "embedding"), k, strategy).join(small(schema.select("ord", "relation"), of=schema), "ord")
     return top.groupBy("doc_ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "relation"))), lambda x: x["relation"]).alias("retrieved"))
 
 
@@ -31,7 +31,7 @@ def relation_hints(relations: DataFrame, schema: DataFrame, examples: DataFrame
     numbered ``examples`` and the ``texts`` (doc_ord, text) they are from, each line names one, drawn for this document and relation. Texts are
     joined last, by the examples that were drawn. A document without relations has an empty text.
     """
-    rows = relations.select("doc_ord", F.posexplode("relations").alias("at", "relation")).join(small(schema.select("relation", "definition")), "relation")
+    rows = relations.select("doc_ord", F.posexplode("relations").alias("at", "relation")).join(small(schema.select("relation", "definition"), of=schema), "relation")
     line = hint_line(F.col("at") + 1, F.col("relation"), F.col("definition"))
     if examples is not None:
         drawn = groups.drawn_examples(rows.select("doc_ord", "relation"), examples, seed)

@@ -23,12 +23,12 @@ def last_wins(rows: DataFrame, extra: list[str] | None = None) -> DataFrame:
 
 def known(triples: DataFrame, schema: DataFrame) -> DataFrame:
     """The triples whose relation is in the vocabulary, exactly as written."""
-    return triples.join(small(schema.select(F.col("relation").alias("p"))), "p", "left_semi")
+    return triples.join(small(schema.select(F.col("relation").alias("p")), of=schema), "p", "left_semi")
 
 
 def unknown(triples: DataFrame, schema: DataFrame) -> DataFrame:
     """The triples whose relation is not in the vocabulary; those with a null relation are among them."""
-    return triples.join(small(schema.select(F.col("relation").alias("p"))), "p", "left_anti")
+    return triples.join(small(schema.select(F.col("relation").alias("p")), of=schema), "p", "left_anti")
 
 
 def with_definitions(triples: DataFrame, definitions: DataFrame, normalize: bool = False) -> DataFrame:
@@ -52,7 +52,7 @@ def upsert(schema: DataFrame, new: DataFrame) -> DataFrame:
 
     The additions of one step must be few enough for one ordered task, as vocabularies are.
     """
-    fresh = new.join(small(schema.select("relation")), "relation", "left_anti").groupBy("relation").agg(F.min_by("definition", "at").alias("definition"), F.min("at").alias("at"))
+    fresh = new.join(small(schema.select("relation"), of=schema), "relation", "left_anti").groupBy("relation").agg(F.min_by("definition", "at").alias("definition"), F.min("at").alias("at"))
     start = F.broadcast(schema.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("_top")))
     ranked = fresh.withColumn("_n", F.row_number().over(Window.orderBy("at", "relation"))).join(start)
     rows = ranked.select((F.col("_top") + F.col("_n")).cast("bigint").alias("ord"), "relation", "definition", F.lit("enriched").alias("origin"))

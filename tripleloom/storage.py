@@ -104,8 +104,16 @@ def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADC
     return n <= rows and total <= size
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
-    """df with a broadcast hint if it is small by rows and bytes; else with a merge hint, so that no estimate from compressed files makes it broadcast."""
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES, of: DataFrame | None = None) -> DataFrame:
+    """df with a broadcast hint if it is small by rows and bytes; else with a merge hint, so that no estimate from compressed files makes it broadcast.
+
+    ``of`` names a table that df is a part of, which is measured once: where it is small as a whole, its parts are.
+    """
+    if of is not None:
+        if not hasattr(of, "_is_small"):
+            of._is_small = fits_broadcast(of)
+        if of._is_small:
+            return F.broadcast(df)
     return F.broadcast(df) if fits_broadcast(df, rows, size) else df.hint("merge")
 
 
