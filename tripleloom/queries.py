@@ -435,7 +435,7 @@ def relation_hint_text(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     f"{_HINTED}, l AS (SELECT doc_ord, i, relations[i] AS relation FROM (SELECT doc_ord, relations, unnest(range(1, len(relations) + 1)) AS i FROM hinted)), "
     f"{_EX}, wanted AS (SELECT doc_ord, relation FROM l JOIN sch USING (relation)), {_DRAWN}, "
-    f"lines AS (SELECT l.doc_ord, i, i || '. ' || relation || ': ' || coalesce(definition, '') || chr(10) || coalesce('For example, ' || {_listed_sql('[d.s, relation, d.o]')} || ' can be extracted from \"' || coalesce(e.text, '') || '\"' || chr(10), '') AS line "
+    f"lines AS (SELECT l.doc_ord, i, i || '. ' || relation || ': ' || coalesce(definition, '') || chr(10) || CASE WHEN d.source IS NULL THEN '' ELSE 'For example, ' || {_listed_sql('[d.s, relation, d.o]')} || ' can be extracted from \"' || coalesce(e.text, '') || '\"' || chr(10) END AS line "
     "FROM l JOIN sch USING (relation) LEFT JOIN drawn d USING (doc_ord, relation) LEFT JOIN relation_examples e ON e.example_id = d.source) "
     "SELECT h.doc_ord, md5(coalesce(string_agg(line, '' ORDER BY i), '')) AS hint_md5 FROM hinted h LEFT JOIN lines USING (doc_ord) GROUP BY h.doc_ord"
 )
@@ -563,7 +563,7 @@ i AS (SELECT *, CASE WHEN {_strict_sql("body")} THEN TRY_CAST(body AS JSON) END
 @query(
     f"""{_DELIVERED} SELECT doc_ord, 'first' AS iid, 't' AS text FROM i WHERE kind = 0
 UNION ALL SELECT doc_ord, CASE WHEN text IS NULL THEN doc_ord::VARCHAR ELSE id::VARCHAR END, coalesce(text, '{{"id":' || id || '}}') FROM i WHERE kind = 2
-UNION ALL SELECT doc_ord, CASE WHEN item IS NOT NULL AND body IS NOT NULL THEN item ELSE doc_ord::VARCHAR END,
+UNION ALL SELECT doc_ord, CASE WHEN item IS NULL OR body IS NULL THEN doc_ord::VARCHAR WHEN json_type(one, '$.iid') = 'DOUBLE' AND NOT regexp_matches(line, '"iid"\\s*:\\s*[-0-9.]+[eE]') THEN regexp_replace(item, '\\.0$', '') ELSE item END,
   CASE WHEN item IS NOT NULL AND body IS NOT NULL THEN CASE WHEN json_type(part) = 'OBJECT' AND len(json_keys(part)) = len(list_distinct(json_keys(part))) THEN coalesce(part ->> '$.summarization', '') ELSE '' END ELSE {_strip_sql("line")} END FROM i WHERE kind IN (1, 3) AND object"""
 )
 def jsonl_documents(spark: SparkSession, folder: str) -> DataFrame:
