@@ -100,6 +100,19 @@ def test_growth_equals_a_plain_fold(spark, unit, seed, chunk, folded, monkeypatc
     assert [r.relation for r in grown.orderBy("ord").collect()] == names
 
 
+def undefined_after_growth(spark, unit, monkeypatch):
+    """What is folded after a relation with a vector joined: first a relation without a definition alone in its block, then one that is near."""
+    monkeypatch.setattr(canonicalize, "FOLDED", 1)
+    t = triples(spark, (1, "r", "far"), (2, "x", None), (3, "y", None), (4, "z", "near"), (5, "w", "d1"))
+    got, grown = canonicalize.enriched(t, spark.createDataFrame([], SCHEMA), embed_axes(spark), 0.5, unit)
+    assert [(r.path, r.canon) for r in got.orderBy("pos").collect()] == [("verify", "r"), ("nodef", "x"), ("nodef", "y"), ("verify", "z"), ("verify", "z")]
+    assert [r.relation for r in grown.orderBy("ord").collect()] == ["r", "x", "y", "z"]
+
+
+def test_growth_by_document_where_a_block_has_no_definition(spark, monkeypatch):
+    undefined_after_growth(spark, "document", monkeypatch)
+
+
 def test_batches_by_any_verifier(spark):
     t = triples(spark, (1, "r1", "d1"), (1, "r2", "far"), (2, "r3", "d2"))
     decide = lambda part, s: canonicalize.closed(part, s, embed_axes(spark), canonicalize.threshold(0.5))

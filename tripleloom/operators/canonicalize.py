@@ -75,12 +75,13 @@ def _fold(unit: str, tau: float):
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, held = set(), []  # held: vectors that are seen, a matrix for each block
+        dims = 0
         waiting, named, now = [], set(), None  # of the unit at hand: (block, row) of its new relations, and their names
         for frame in frames:
             for start in range(0, len(frame), folded):
                 part = frame.iloc[start : start + folded]
                 has = part["vector"].notna().to_numpy()
-                dims = len(part["vector"].iloc[int(has.argmax())]) if has.any() else 0
+                dims = len(part["vector"].iloc[int(has.argmax())]) if has.any() else dims  # a block without vectors has the width of those before
                 block = np.zeros((len(part), dims))
                 if has.any():
                     block[has] = np.stack(part["vector"][has].to_list())
