@@ -113,6 +113,10 @@ def test_growth_by_document_where_a_block_has_no_definition(spark, monkeypatch):
     undefined_after_growth(spark, "document", monkeypatch)
 
 
+def test_growth_by_triple_where_a_block_has_no_definition(spark, monkeypatch):
+    undefined_after_growth(spark, "triple", monkeypatch)
+
+
 def test_batches_by_any_verifier(spark):
     t = triples(spark, (1, "r1", "d1"), (1, "r2", "far"), (2, "r3", "d2"))
     decide = lambda part, s: canonicalize.closed(part, s, embed_axes(spark), canonicalize.threshold(0.5))
