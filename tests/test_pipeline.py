@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from tripleloom import storage
 from tripleloom.config import Config, is_remote, parse_args
-from tripleloom.operators import groups, hints, prompts, providers
+from tripleloom.operators import groups, hints, prompts, providers, schema as vocabulary
 from tripleloom.plans import pipeline
 from tripleloom.sources import documents, sinks
 from tripleloom.streaming import enrich
@@ -265,6 +266,23 @@ def test_queries_over_whole_runs_know_the_whole_vocabulary(spark, tmp_path):
     assert [streamed[i] for i in (0, 3)] == [(0, "exact", "is a"), (3, "exact", "has feature")] and [x[2] for x in streamed[1:3]] == ["serves", strange]
 
 
+def small_files(spark):
+    """Tables of a run that grow with the documents, of a few bytes as files, so that Spark would broadcast each: documents, nested and long triples, definitions."""
+    docs = storage.written(spark.range(20).select(F.col("id").alias("doc_ord"), F.col("id").cast("string").alias("iid"), F.lit("t").alias("text")), "documents")
+    nested = storage.written(docs.select("doc_ord", F.array(F.array(F.lit("a"), F.lit("r"), F.lit("b"))).alias("triples")), "oie")
+    defined = storage.written(docs.select("doc_ord", F.lit("r").alias("relation"), F.lit("it r").alias("definition")), "definitions")
+    return docs, nested, storage.written(groups.long_triples(nested), "long"), defined
+
+
+def test_tables_of_a_run_are_not_broadcast(spark, monkeypatch):
+    docs, nested, triples, defined = small_files(spark)
+    monkeypatch.setattr(pipeline, "written", lambda df, name: df)
+    asked = pipeline.define(docs, nested, triples, Config(), models())
+    for df in (asked, vocabulary.with_definitions(triples, defined), vocabulary.undefined(triples, defined), groups.results(docs, triples)):
+        assert "Broadcast" not in df._jdf.queryExecution().toString()
+    assert vocabulary.with_definitions(triples, defined).where("definition = 'it r'").count() == 20 and groups.results(docs, triples).where("size(triplets) = 1").count() == 20
+
+
 def test_unanswered_documents_are_set_apart(spark):
     docs = spark.createDataFrame([(0, "5", "[['a','r','b']]"), (1, "6", "x")], "doc_ord bigint, iid string, text string")
     m = models()

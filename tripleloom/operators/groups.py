@@ -55,7 +55,7 @@ def results(documents: DataFrame, triples: DataFrame) -> DataFrame:
     The id is the item's own, or the document's number where it has none.
     """
     kept = nested(triples.where("p IS NOT NULL"))
-    rows = documents.select("doc_ord", F.coalesce("iid", F.col("doc_ord").cast("string")).alias("iid")).join(kept, "doc_ord", "left")
+    rows = merge_join(documents.select("doc_ord", F.coalesce("iid", F.col("doc_ord").cast("string")).alias("iid")), kept, "doc_ord", "left")
     return rows.withColumn("triplets", F.coalesce("triplets", F.array().cast("array<array<string>>")))
 
 

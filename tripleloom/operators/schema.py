@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripleloom.storage import small
+from tripleloom.storage import merge_join, small
 
 
 def last_wins(rows: DataFrame, extra: list[str] | None = None) -> DataFrame:
@@ -38,13 +38,13 @@ def with_definitions(triples: DataFrame, definitions: DataFrame, normalize: bool
     """
     key = F.trim("p") if normalize else F.col("p")
     d = definitions.select("doc_ord", F.col("relation").alias("_r"), "definition")
-    return triples.withColumn("_r", key).join(d, ["doc_ord", "_r"], "left").drop("_r")
+    return merge_join(triples.withColumn("_r", key), d, ["doc_ord", "_r"], "left").drop("_r")
 
 
 def undefined(triples: DataFrame, definitions: DataFrame) -> DataFrame:
     """(doc_ord, relation): relations of a document without a definition."""
     used = triples.select("doc_ord", F.col("p").alias("relation")).distinct()
-    return used.join(definitions.select("doc_ord", "relation"), ["doc_ord", "relation"], "left_anti")
+    return merge_join(used, definitions.select("doc_ord", "relation"), ["doc_ord", "relation"], "left_anti")
 
 
 def upsert(schema: DataFrame, new: DataFrame) -> DataFrame:

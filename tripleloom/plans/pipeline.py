@@ -19,7 +19,7 @@ from tripleloom.operators import canonicalize, groups, hints, providers, schema
 from tripleloom.operators.prompts import fill, fill_constant
 from tripleloom.sources import sinks
 from tripleloom.sources.documents import read_template
-from tripleloom.storage import written
+from tripleloom.storage import merge_join, written
 
 #: Templates of our own, used where a file named in the options is missing.
 TEMPLATES = {
@@ -99,7 +99,7 @@ def extract(documents: DataFrame, hinted: DataFrame | None, cfg: Config, models:
 def define(documents: DataFrame, nested: DataFrame, triples: DataFrame, cfg: Config, models: Models) -> DataFrame:
     """(doc_ord, relation, definition) for the relations of each document."""
     instructions = fill_constant(template(cfg, "sd_instructions"), few_shot_examples=few_shot(cfg, "sd"))
-    rows = documents.join(nested, "doc_ord").join(groups.relations_of(triples), "doc_ord", "left").withColumn("relations", F.coalesce("relations", F.array().cast("array<string>")))
+    rows = merge_join(merge_join(documents, nested, "doc_ord"), groups.relations_of(triples), "doc_ord", "left").withColumn("relations", F.coalesce("relations", F.array().cast("array<string>")))
     prompt = fill(template(cfg, "sd_input"), text=F.col("text"), triples=listed_lists(F.col("triples")), relations=listed_set(F.col("relations")))
     asked = rows.select("doc_ord", "relations", F.lit(instructions).alias("instructions"), prompt.alias("input"))
     return written(definitions(models.sd.complete(asked), "completion", ["doc_ord"]), "definitions")
