@@ -283,6 +283,15 @@ def test_tables_of_a_run_are_not_broadcast(spark, monkeypatch):
     assert vocabulary.with_definitions(triples, defined).where("definition = 'it r'").count() == 20 and groups.results(docs, triples).where("size(triplets) = 1").count() == 20
 
 
+def test_parts_of_the_trace_are_not_broadcast(spark):
+    docs, nested, triples, defined = small_files(spark)
+    empty = docs.select("doc_ord", F.lit(None).cast("array<string>").alias("entity_hint"), F.lit("").alias("relation_hint"))
+    out = storage.written(triples.withColumns({"canon": F.col("p"), "candidates": F.lit(None).cast("array<struct<relation: string, definition: string, score: double>>")}), "canonical")
+    trace = sinks.trace_records(docs, empty, nested, defined, out)
+    assert "Broadcast" not in trace._jdf.queryExecution().toString()
+    assert {tuple(r.schema_definition.items()) for r in trace.collect()} == {(("r", "it r"),)} and trace.count() == 20
+
+
 def test_unanswered_documents_are_set_apart(spark):
     docs = spark.createDataFrame([(0, "5", "[['a','r','b']]"), (1, "6", "x")], "doc_ord bigint, iid string, text string")
     m = models()

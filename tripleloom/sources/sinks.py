@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripleloom.storage import merge_join
+
 
 def _exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -61,7 +63,7 @@ def trace_records(documents: DataFrame, hints: DataFrame, oie: DataFrame, defini
     rows = rows.select("doc_ord", F.transform("_all", lambda x: x["c"]).alias("canonicalization_candidates"), F.transform("_all", lambda x: x["t"]).alias("schema_canonicalizaiton"))
     out = documents
     for part in (hints, oie, maps, rows):
-        out = out.join(part, "doc_ord", "left")
+        out = merge_join(out, part, "doc_ord", "left")
     none = F.array().cast("array<array<string>>")
     return out.select(
         F.col("doc_ord").alias("index"), F.coalesce("iid", F.col("doc_ord").cast("string")).alias("item_id"), F.col("text").alias("input_text"), "entity_hint",
